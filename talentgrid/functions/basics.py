@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Iterable
 
@@ -22,6 +23,15 @@ def alternation(words: Iterable[str]) -> str:
     return "|".join(quote(w) for w in sorted(words, key=len, reverse=True))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used.
+
+    The value is bound as the variable of a one-element transform.  A plain
+    column alias would be inlined again, and inside a lambda even per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conds: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
 
@@ -57,8 +67,8 @@ def first_match(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def contains_any(c: Column, words: Iterable[str]) -> Column:
-    return any_of(c.contains(w) for w in words)
+    return c.rlike(alternation(words))
 
 
 def ends_with_any(c: Column, words: Iterable[str]) -> Column:
-    return any_of(c.endswith(w) for w in words)
+    return c.rlike(f"(?:{alternation(words)})\\z")

@@ -99,8 +99,7 @@ def clean_resume_text(c: Column, normalized: bool = False) -> Column:
     ]
     for pattern, to in rejoin:
         c = F.regexp_replace(c, pattern, to)
-    for heading in vocab.SECTION_HEADINGS:
-        c = F.regexp_replace(c, r"(?U)\s*" + heading, "\n" + heading)
+    c = F.regexp_replace(c, rf"(?U)\s*({alternation(vocab.SECTION_HEADINGS)})", "\n$1")
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n+", "\n")
     return strip_ws(c)
 
