@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +56,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             return df
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for stream state and sinks, in the cluster's checkpoint folder.
+
+    Only a local session may fall back to a scratch folder of this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        return tempfile.mkdtemp(prefix=f"spark-{name}-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
