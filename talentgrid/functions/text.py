@@ -18,6 +18,11 @@ from talentgrid.functions.basics import CJK, alternation, strip_ws
 
 # --- fixed values: characters ------------------------------------------------
 UNREADABLE = r"[□¡¿\u200b\u200c\u200d\ufeff]"
+_MAPPED = "\u2ec4"
+_BLANKS = "\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))
+_BREAKS = "\r\u2028\u2029"
+_DROPPED = "□¡¿\u200b\u200c\u200d\ufeff" + "".join(
+    chr(i) for i in range(0xa0) if i < 0x20 and chr(i) not in "\t\n\r" or i >= 0x7f)
 KEPT_CHARS = r"[^一-龥A-Za-z0-9\s.,;:：，。；、！？()（）【】\[\]《》\-+*/=@#%&·•~]"
 
 
@@ -78,28 +83,26 @@ def clean_resume_text(c: Column, normalized: bool = False) -> Column:
     """Text as the extraction rules want it; ``normalized`` skips NFKC."""
     if not normalized:
         c = nfkc(c)
-    steps = [
-        ("⻄", "西"), (r"\r\n?", "\n"), (r"[\u00a0\u3000]", " "),
-        ("姓[⺠民氏]名", "姓名"), (UNREADABLE, ""),
-        (r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]", ""),
-        ("(?U)" + KEPT_CHARS, " "),
-        (f"(?U)({CJK})\\s+({CJK})", "$1$2"),
-    ]
-    for pattern, to in steps:
+    # one pass maps every Unicode blank to a space or newline and drops unreadable
+    # characters, so the patterns after it get by with the cheap ASCII classes
+    c = F.translate(c, _MAPPED + _BLANKS + _BREAKS + _DROPPED,
+                    "西" + " " * len(_BLANKS) + "\n" * len(_BREAKS))
+    for pattern, to in [("姓[⺠民氏]名", "姓名"), (KEPT_CHARS, " "),
+                        (f"({CJK})\\s+({CJK})", "$1$2")]:
         c = F.regexp_replace(c, pattern, to)
     c = ocr_repair(c)
-    gap = r"(?U)\s*\n\s*"
+    gap = r"\s*\n\s*"
     rejoin = [
         (rf"([0-9]{{4}}){gap}[-~至到]{gap}((?:19|20)[0-9]{{2}}|至今|现在)", "$1-$2"),
         (rf"([0-9]{{4}})[/\\]{gap}([0-9]{{1,2}})", "$1/$2"),
-        (rf"({CJK}{{2,}}){gap}(公司|集团|企业|有限公司)", "$1$2"),
-        (rf"({CJK}{{1,3}}){gap}(主管|经理|总监|工程师|教师|管理员|专员|助理|顾问|销售)", "$1$2"),
-        (rf"({CJK}{{1,4}}){gap}(大学|学院|学校)", "$1$2"),
-        (r"\b[a-zA-Z0-9]{18,}\b", " "),
+        # a run of one to four characters is found through its last one
+        (rf"({CJK}{{2}}){gap}(公司|集团|企业|有限公司)", "$1$2"),
+        (rf"({CJK}){gap}(主管|经理|总监|工程师|教师|管理员|专员|助理|顾问|销售|大学|学院|学校)", "$1$2"),
+        (r"\b[a-zA-Z0-9]{18,}+\b", " "),
     ]
     for pattern, to in rejoin:
         c = F.regexp_replace(c, pattern, to)
-    c = F.regexp_replace(c, rf"(?U)\s*({alternation(vocab.SECTION_HEADINGS)})", "\n$1")
+    c = F.regexp_replace(c, rf"\s*+({alternation(vocab.SECTION_HEADINGS)})", "\n$1")
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n+", "\n")
     return strip_ws(c)
 

@@ -1,5 +1,8 @@
 """Documents to candidate columns: ordered rules as column expressions.
 
+The texts are those ``clean_resume_text`` returns: their only blanks are the
+space and the newline.
+
 Every field is a ``coalesce`` of named rules over the text of the row, so each
 rule can be tested alone and no field needs a shuffle: neighbouring lines are
 array neighbours, not window rows.
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from talentgrid import vocab
 from talentgrid.functions import contact, education as edu
 from talentgrid.functions.basics import (
-    alternation, blank_to_null, contains_any, ends_with_any, first_match, let, strip_ws)
+    alternation, blank_to_null, contains_any, ends_with_any, first_match, let)
 from talentgrid.functions.candidate import earliest_year, sort_experiences
 from talentgrid.functions.text import clean_resume_text, parse_key_values
 
@@ -41,7 +44,7 @@ def _cut_name(c: Column) -> Column:
 def _near(text: Column, anchor: str, before: int, checked: bool) -> Column:
     """Last name-like run within ``before`` characters ahead of the first anchor match."""
     ahead = F.regexp_extract(text, rf"(?s)\A(.*?)(?:{anchor})", 1)
-    window = F.right(ahead, F.lit(before))
+    window = F.when(text.rlike("[一-龥]"), F.right(ahead, F.lit(before)))
 
     def pick(w: Column) -> Column:
         runs = F.regexp_extract_all(w, F.lit(f"({SHORT_NAME})"), F.lit(1))
@@ -56,13 +59,14 @@ def _near(text: Column, anchor: str, before: int, checked: bool) -> Column:
 
 
 def name_rules(text: Column, kv: Column) -> dict[str, Column]:
-    mail, mobile = contact.EMAIL, r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])"
+    mail, mobile = contact.EMAIL_SCAN, r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])"
     labelled = F.regexp_replace(_key(kv, "姓名"), "[^一-龥A-Za-z·• ]", "")
-    alias = first_match(text, rf"(?U)(?:姓名|中文名|中文姓名|英文姓名|英文)\s*[:：]?\s*({NAME})", 1)
+    alias = first_match(text, rf"(?:姓名|中文名|中文姓名|英文姓名|英文)\s*[:：]?\s*({NAME})", 1)
     titled = first_match(text, rf"(?U)({NAME})\s*(?:先生|女士|男|女)\b", 1)
-    after_mail = first_match(text, rf"(?s)(?:{mail})(.{{0,30}})", 1)
+    mailed = text.contains("@")
+    after_mail = F.when(mailed, first_match(text, rf"(?s)(?:{mail})(.{{0,30}})", 1))
     lines = F.slice(F.split(text, "\n"), 1, 30)
-    squeezed = F.transform(lines, lambda l: F.regexp_replace(l, r"(?U)\s", ""))
+    squeezed = F.transform(lines, lambda l: F.regexp_replace(l, r"\s", ""))
     short = F.filter(
         F.transform(F.filter(squeezed, lambda l: F.length(l).between(2, 10)),
                     lambda l: F.regexp_replace(l, "[^一-龥]", "")),
@@ -73,7 +77,7 @@ def name_rules(text: Column, kv: Column) -> dict[str, Column]:
         "label": _real_name(_cut_name(alias)),
         "title": _real_name(titled),
         "after_email": _real_name(first_match(after_mail, NAME)),
-        "before_email": _near(text, mail, 50, True),
+        "before_email": F.when(mailed, _near(text, mail, 50, True)),
         "before_phone": _near(text, mobile, 50, True),
         "around_contact": _near(text, f"{mail}|{mobile}", 60, False),
         "short_line": F.get(short, F.lit(0)),
@@ -89,12 +93,12 @@ def name_expr(text: Column, kv: Column) -> Column:
 def gender_rules(text: Column, kv: Column) -> dict[str, Column]:
     v, head = _key(kv, "性别"), F.substring(text, 1, 500)
     man, woman = head.contains("男"), head.contains("女")
-    context = head.rlike(r"(?U)(?:男|女)(?:\s*[|｜]|\s+岁|\s+性)")
+    context = head.rlike(r"(?:男|女)(?:\s*[|｜]|\s+岁|\s+性)")
     return {
         "key_value": F.when(v.contains("女"), "女").when(v.contains("男"), "男"),
-        "label": first_match(text, r"(?U)性别\s*[:：]?\s*(男|女)", 1),
-        "after_name": first_match(text, rf"(?U){NAME}\s*(男|女)(?:\s*[|｜]\s*|\s+|\s*$)", 1),
-        "before_age": first_match(text, r"(?U)(男|女)\s*[|｜]\s*[0-9]+\s*岁", 1),
+        "label": first_match(text, r"性别\s*[:：]?\s*(男|女)", 1),
+        "after_name": first_match(text, rf"{NAME}\s*(男|女)(?:\s*[|｜]\s*|\s+|\s*$)", 1),
+        "before_age": first_match(text, r"(男|女)\s*[|｜]\s*[0-9]+\s*岁", 1),
         "head": F.when(context & man & ~woman, "男").when(context & woman & ~man, "女"),
     }
 
@@ -105,7 +109,7 @@ def gender_expr(text: Column, kv: Column) -> Column:
 
 # tried in this order; each names a year with what must follow it
 BIRTH_PATTERNS = [
-    r"(?U)(?:出生[年月日]*|生日)[：:]\s*([0-9]{4})",
+    r"(?:出生[年月日]*|生日)[：:]\s*([0-9]{4})",
     r"([0-9]{4})年[0-9]{1,2}月[0-9]{0,2}日?",
     r"([0-9]{4})年",
     r"([0-9]{4})[年\-/][0-9]{1,2}",
@@ -125,7 +129,7 @@ def birth_year_rules(text: Column, kv: Column, as_of_year: int) -> dict[str, Col
         hit = lambda l: contains_any(l, vocab.BIRTH_WORDS)
 
         def year_of(l: Column, i: Column) -> Column:
-            here = ok(first_match(l, r"(?U)(?:出生[年月日]*|生日)\s*[：:]?\s*([0-9]{4})", 1))
+            here = ok(first_match(l, r"(?:出生[年月日]*|生日)\s*[：:]?\s*([0-9]{4})", 1))
             below = F.coalesce(F.get(ls, i + 1), F.lit(""))
             calm = ~contains_any(below, vocab.BIRTH_WORK_WORDS + ["岗位", "职位"])
             fits = calm & (below.contains("年") | (F.length(below) <= 10))
@@ -147,11 +151,11 @@ def birth_year_rules(text: Column, kv: Column, as_of_year: int) -> dict[str, Col
         return _first([one(p) for p in BIRTH_PATTERNS])
 
     no_work = F.regexp_replace(
-        text, r"(?U)[0-9]{4}[./-][0-9]{1,2}[./-]?[0-9]{0,2}\s*[-~至到]+\s*[0-9]{4}"
+        text, r"[0-9]{4}[./-][0-9]{1,2}[./-]?[0-9]{0,2}\s*[-~至到]+\s*[0-9]{4}"
         rf"|{year}\s+[一-龥]{{2,}}(?:公司|集团|企业)", "")
     return {
         "key_value": _first(keyed),
-        "birth_line": let(F.transform(head, strip_ws), by_line),
+        "birth_line": let(F.transform(head, F.trim), by_line),
         "head": let(F.substring(text, 1, 1500), lambda t: by_pattern(t, False)),
         "whole_text": F.when(text.rlike("出生|生日"), let(no_work, lambda t: by_pattern(t, True))),
     }
@@ -168,15 +172,15 @@ def age_expr(text: Column, kv: Column, birth_year: Column, as_of_year: int) -> C
         return F.when(c.between(16, 70), c)
     return F.coalesce(
         ok(first_match(_key(kv, "年龄"), "[0-9]{1,2}")),
-        ok(first_match(text, r"(?U)年龄\s*[:：]?\s*([0-9]{1,2})", 1)),
-        ok(first_match(text, r"(?U)([0-9]{1,2})\s*岁", 1)),
+        ok(first_match(text, r"年龄\s*[:：]?\s*([0-9]{1,2})", 1)),
+        ok(first_match(text, r"([0-9]{1,2})\s*岁", 1)),
         ok(F.lit(as_of_year) - birth_year))
 
 
 # --------------------------------------------------------------- sections
 def section(text: Column, headings: list[str], stops: list[str]) -> Column:
     """Text from the first heading to the next stop heading or the end."""
-    return first_match(text, rf"(?Us)(?:{alternation(headings)})[：:]?\s*(.*?)(?={alternation(stops)}|\z)", 1)
+    return first_match(text, rf"(?s)(?:{alternation(headings)})[：:]?\s*(.*?)(?={alternation(stops)}|\z)", 1)
 
 
 # --------------------------------------------------------------- work experience
@@ -193,9 +197,9 @@ _BRACKETS = "[（(][^）)]+[）)]"
 
 
 def tidy_company(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?U)\A[0-9./\-年月日\s]+", "")
+    c = F.regexp_replace(c, r"\A[0-9./\-年月日\s]+", "")
     c = F.regexp_replace(c, _BRACKETS, "")
-    c = blank_to_null(F.regexp_replace(strip_ws(c), "[·•]+\\z", ""))
+    c = blank_to_null(F.regexp_replace(F.trim(c), "[·•]+\\z", ""))
     return F.when(~c.isin(vocab.COMPANY_PLACEHOLDERS), c)
 
 
@@ -203,12 +207,12 @@ def tidy_position(c: Column) -> Column:
     """First position of the text up to a duty word; NULL when it is none."""
     duty = alternation(vocab.POSITION_DUTY_WORDS)
     out = F.regexp_replace(c, _BRACKETS, "")
-    out = F.regexp_replace(out, r"(?U)\A[·•，,、|/:：\-—\s]+", "")
-    out = F.regexp_replace(out, rf"(?Us)\A(?:{alternation(vocab.POSITION_LABELS)}|进行|从事)[：:，,\s]*", "")
+    out = F.regexp_replace(out, r"\A[·•，,、|/:：\-—\s]+", "")
+    out = F.regexp_replace(out, rf"(?s)\A(?:{alternation(vocab.POSITION_LABELS)}|进行|从事)[：:，,\s]*", "")
     out = F.regexp_replace(out, rf"(?s)(?<=.)(?:{duty}).*\z", "")
     out = F.regexp_replace(out, "(?s)[、/。；;].*\\z", "")
-    out = F.regexp_replace(out, r"(?U)\s*工作(?:内容|职责)?\z", "")
-    out = F.regexp_replace(out, r"(?U)[，,;；.。|\s]+\z", "")
+    out = F.regexp_replace(out, r"\s*工作(?:内容|职责)?\z", "")
+    out = F.regexp_replace(out, r"[，,;；.。|\s]+\z", "")
     bad = f"{duty}|公司|集团|企业|:\\z"
     return let(out, lambda p: F.when(
         F.length(p).between(2, 30) & ~p.isin(vocab.NOT_A_POSITION) & ~p.rlike(bad)
@@ -221,8 +225,8 @@ def _skipped(l: Column) -> Column:
         "公司") & ~l.contains("工作")
     duty = (l.rlike(r"\A[0-9]+[、.。]") & ~l.rlike(rf"\A{_Y}")
             & contains_any(l, vocab.DUTY_LINE_WORDS))
-    header = l.rlike(r"(?U)\A(?:时间|单位|职位|岗位|名称)[\s一-龥]*\z") | l.rlike(
-        r"(?U)\A(?:内容|负责|职责|业绩|获得|担任角色|负责工作|获得业绩)[：:]?\s*\z")
+    header = l.rlike(r"\A(?:时间|单位|职位|岗位|名称)[\s一-龥]*\z") | l.rlike(
+        r"\A(?:内容|负责|职责|业绩|获得|担任角色|负责工作|获得业绩)[：:]?\s*\z")
     return contains_any(l, vocab.EXPERIENCE_SKIP_WORDS) | schooling | duty | header
 
 
@@ -264,7 +268,7 @@ def _entry(s: Column) -> Column:
 
     return let(F.struct(
         first_match(s.after, _DOING, 1).alias("doing"),
-        strip_ws(first_match(s.after, _DOTTED, 1)).alias("left"),
+        F.trim(first_match(s.after, _DOTTED, 1)).alias("left"),
         F.get(companies(s.after), F.lit(0)).alias("after"),
         F.try_element_at(companies(s.before), F.lit(-1)).alias("before")), build)
 
@@ -312,13 +316,13 @@ def work_experience_expr(text: Column, as_of_year: int) -> Column:
             single = F.array(F.struct(
                 year(F.regexp_extract(c.l, SINGLE_YEAR, 1)).alias("start"),
                 F.lit(None).cast("int").alias("end"),
-                strip_ws(F.regexp_extract(c.l, SINGLE_YEAR, 2)).alias("after"),
+                F.trim(F.regexp_extract(c.l, SINGLE_YEAR, 2)).alias("after"),
                 F.lit("").alias("before"), c.next.alias("next"), c.seen.alias("seen")))
             ranges = let(F.struct(part(1).alias("s"), part(2).alias("e"), part(3).alias("a"),
                                   head.alias("h")), lambda p: F.transform(p.s, lambda s, k: F.struct(
                 year(s).alias("start"), year(F.get(p.e, k)).alias("end"),
-                strip_ws(F.get(p.a, k)).alias("after"),
-                strip_ws(F.when(k == 0, p.h).otherwise(F.get(p.a, k - 1))).alias("before"),
+                F.trim(F.get(p.a, k)).alias("after"),
+                F.trim(F.when(k == 0, p.h).otherwise(F.get(p.a, k - 1))).alias("before"),
                 c.next.alias("next"), c.seen.alias("seen"))))
             return F.when(c.l.rlike(_RANGE), ranges).otherwise(single)
 
@@ -328,7 +332,7 @@ def work_experience_expr(text: Column, as_of_year: int) -> Column:
         return let(F.when(h.l.rlike(_RANGE), box).otherwise(alone), lambda c: F.transform(
             pieces(c), lambda p: _entry(p)))
 
-    lines = F.filter(F.transform(F.split(text, "\n"), strip_ws), lambda l: l != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda l: l != "")
     marked = F.transform(lines, lambda l, i: F.struct(
         i.alias("i"), l.alias("l"), l.rlike(f"{_RANGE}|{SINGLE_YEAR}").alias("hit"),
         _skipped(l).alias("skip")))
@@ -350,7 +354,7 @@ def earliest_work_year_expr(text: Column, experience: Column, as_of_year: int) -
 
 # --------------------------------------------------------------- education
 DATED = r"([0-9]{4})[-~至到]([0-9]{4}|至今)"
-SCHOOL_DEGREE_MAJOR = (r"(?U)([一-龥]{2,20}?(?:大学|学院|学校))\s*(本科|专科|硕士|博士|研究生)?\s*"
+SCHOOL_DEGREE_MAJOR = (r"([一-龥]{2,20}?(?:大学|学院|学校))\s*(本科|专科|硕士|博士|研究生)?\s*"
                        r"([一-龥]{2,20})\z")
 NOT_A_MAJOR = ["本科", "专科", "硕士", "博士", "研究生", "学士", "学习", "起点", "网络", "教育"]
 
@@ -365,8 +369,8 @@ def _school_in(l: Column) -> Column:
 def _major_in(l: Column) -> Column:
     """Major named on a line by a label before or after it."""
     found = F.transform(F.array(
-        first_match(l, r"(?U)(?:专业|主修|方向)[：:]\s*([一-龥A-Za-z]{2,20})", 1),
-        first_match(l, r"(?U)([一-龥]{2,20}?)\s*专业", 1)), edu.clean_major)
+        first_match(l, r"(?:专业|主修|方向)[：:]\s*([一-龥A-Za-z]{2,20})", 1),
+        first_match(l, r"([一-龥]{2,20}?)\s*专业", 1)), edu.clean_major)
     return F.get(F.filter(found, lambda m: m.isNotNull()), F.lit(0))
 
 
@@ -374,7 +378,7 @@ def _dated_entries(sect: Column, as_of_year: int) -> Column:
     """``end, school, level, major`` of lines "dates school degree major"."""
     def entry(l: Column) -> Column:
         end = F.regexp_extract(l, DATED, 2)
-        rest = strip_ws(F.regexp_replace(l, DATED, ""))
+        rest = F.trim(F.regexp_replace(l, DATED, ""))
         m = F.regexp_extract(rest, SCHOOL_DEGREE_MAJOR, 3)
         return F.struct(
             F.when(end == "至今", as_of_year).otherwise(end.try_cast("int")).alias("end"),
@@ -382,7 +386,7 @@ def _dated_entries(sect: Column, as_of_year: int) -> Column:
             edu.level_on_line(first_match(rest, SCHOOL_DEGREE_MAJOR, 2)).alias("level"),
             F.when(~m.isin(NOT_A_MAJOR), edu.clean_major(m)).alias("major"))
     lines = F.filter(F.split(sect, "\n"), lambda l: l.rlike(DATED))
-    return F.filter(F.transform(lines, lambda l: entry(strip_ws(l))),
+    return F.filter(F.transform(lines, lambda l: entry(F.trim(l))),
                     lambda e: e.school.isNotNull() & e.major.isNotNull())
 
 
@@ -403,7 +407,7 @@ def _school_entries(lines: Column) -> Column:
                                lambda n: F.struct(edu.level_on_line(n).alias("level"),
                                                   _major_in(n).alias("major")))
             own = F.regexp_replace(l, edu.SCHOOL, " ")
-            tokens = F.transform(F.split(own, r"(?U)[\s,，;；|/]+"), lambda t: F.struct(
+            tokens = F.transform(F.split(own, r"[\s,，;；|/]+"), lambda t: F.struct(
                 edu.level_on_line(t).alias("level"), edu.clean_major(t).alias("major"),
                 (t.rlike("专业|方向|系\\z")).alias("marked"), t.rlike(r"\A[一-龥]{2,20}\z").alias("plain")))
             return let(F.struct(near.alias("near"), tokens.alias("tokens")), lambda b: choose(l, b))
@@ -430,16 +434,18 @@ def education_expr(text: Column, kv: Column, as_of_year: int) -> Column:
     level = F.coalesce(level, F.when(text.contains("职高"), "职高"))
     kv_school = blank_to_null(edu.clean_school(F.coalesce(*[_key(kv, k) for k in vocab.SCHOOL_KEYS])))
     kv_major = edu.clean_major(_key(kv, "专业"))
-    sect = section(text, vocab.EDUCATION_HEADINGS, vocab.EDUCATION_STOPS)
     # only texts that name a school at all are looked at line by line
     schooled = text.rlike(edu.SCHOOL)
-    lines = F.filter(F.transform(F.split(text, "\n"), strip_ws), lambda l: l != "")
-    facts = F.struct(
-        level.alias("level"), kv_school.alias("kv_school"), kv_major.alias("kv_major"),
-        F.when(schooled, best_education(_dated_entries(sect, as_of_year), "end")).alias("dated"),
-        first_match(sect, edu.SCHOOL).alias("sect_school"), first_match(text, edu.SCHOOL).alias("text_school"),
-        _major_in(sect).alias("sect_major"), _major_in(text).alias("text_major"),
-        F.when(schooled, best_education(_school_entries(lines), "level")).alias("best"))
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda l: l != "")
+
+    def collect(sect: Column) -> Column:
+        return F.struct(
+            level.alias("level"), kv_school.alias("kv_school"), kv_major.alias("kv_major"),
+            F.when(sect.isNotNull(), best_education(_dated_entries(sect, as_of_year), "end")).alias("dated"),
+            first_match(sect, edu.SCHOOL).alias("sect_school"),
+            first_match(text, edu.SCHOOL).alias("text_school"),
+            _major_in(sect).alias("sect_major"), _major_in(text).alias("text_major"),
+            F.when(schooled, best_education(_school_entries(lines), "level")).alias("best"))
 
     def decide(f: Column) -> Column:
         level = edu.higher_level(edu.higher_level(f.level, f.dated.level), f.best.level)
@@ -451,7 +457,7 @@ def education_expr(text: Column, kv: Column, as_of_year: int) -> Column:
         return F.struct(
             level.alias("highest_education"), edu.clean_school(school).alias("school"),
             F.when(~F.coalesce(level.isin("高中", "初中"), F.lit(False)), major).alias("major"))
-    return let(facts, decide)
+    return let(let(section(text, vocab.EDUCATION_HEADINGS, vocab.EDUCATION_STOPS), collect), decide)
 
 
 # --------------------------------------------------------------- everything
