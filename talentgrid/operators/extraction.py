@@ -23,6 +23,10 @@ NAME = "[一-龥·•]{2,8}"
 SHORT_NAME = "[一-龥·•]{2,6}"
 
 
+def _trim(l: Column) -> Column:
+    return F.trim(l)
+
+
 def _key(kv: Column, name: str) -> Column:
     return F.try_element_at(kv, F.lit(name))
 
@@ -51,7 +55,7 @@ def _near(text: Column, anchor: str, before: int, checked: bool) -> Column:
         ok = lambda r: ~r.isin(vocab.NOT_A_NAME)
         if checked:
             stops = "|".join(vocab.NAME_CONTEXT_STOPS)
-            ok = lambda r: ~r.isin(vocab.NOT_A_NAME) & ~F.regexp_like(
+            ok = lambda r: ~r.isin(vocab.NOT_A_NAME) & ~r.rlike(stops) & ~F.regexp_like(
                 w, F.concat(F.lit(rf"(?s)(?:{stops}).{{0,10}}\Q"), r, F.lit(r"\E|\Q"), r,
                             F.lit(rf"\E.{{0,10}}(?:{stops})")))
         return F.try_element_at(F.filter(runs, ok), F.lit(-1))
@@ -155,7 +159,7 @@ def birth_year_rules(text: Column, kv: Column, as_of_year: int) -> dict[str, Col
         rf"|{year}\s+[一-龥]{{2,}}(?:公司|集团|企业)", "")
     return {
         "key_value": _first(keyed),
-        "birth_line": let(F.transform(head, F.trim), by_line),
+        "birth_line": let(F.transform(head, _trim), by_line),
         "head": let(F.substring(text, 1, 1500), lambda t: by_pattern(t, False)),
         "whole_text": F.when(text.rlike("出生|生日"), let(no_work, lambda t: by_pattern(t, True))),
     }
@@ -254,14 +258,16 @@ def _entry(s: Column) -> Column:
         rest = lambda t, head="": F.when(t.rlike(COMPANY_END), first_match(
             t, f"{head}{COMPANY}(.*)\\z", 1))
         names_position = lambda t: F.when(contains_any(t, vocab.POSITION_WORDS), t)
-        next_fits = ((F.length(s.next) <= 30) & contains_any(s.next, vocab.POSITION_WORDS)
-                     & ~s.next.rlike(f"{_Y}|公司|集团|企业"))
+        # below the range, or below the company that stands below the range
+        below = F.when(following.isNotNull(), s.after_next).otherwise(s.next)
+        fits = ((F.length(below) <= 30) & contains_any(below, vocab.POSITION_WORDS)
+                & ~below.rlike(f"{_Y}|公司|集团|企业"))
         positions = F.transform(F.array(
             first_match(s.after, _DOING, 2),
             F.when(dotted.isNotNull(), first_match(s.after, _DOTTED, 2)),
             rest(s.after), F.when(f.after.isNull(), names_position(s.after)),
             rest(s.before, "\\A.*"), F.when(f.before.isNull(), names_position(s.before)),
-            F.when(alone, rest(s.next, "\\A")), F.when(next_fits, s.next)), tidy_position)
+            F.when(alone, rest(s.next, "\\A")), F.when(fits, below)), tidy_position)
         position = F.get(F.filter(positions, lambda p: p.isNotNull()), F.lit(0))
         return F.struct(tidy_company(company).alias("company"), position.alias("position"),
                         s.start.alias("start_year"), s.end.alias("end_year"))
@@ -308,7 +314,7 @@ def work_experience_expr(text: Column, as_of_year: int) -> Column:
         marks = F.filter(F.slice(ls, 1, h.i), lambda c: c.skip | c.l.rlike(COMPANY_END))
         seen = let(F.try_element_at(marks, F.lit(-1)), lambda m: F.when(
             ~m.skip, first_match(m.l, f"({COMPANY})", 1)))
-        nxt = F.coalesce(F.get(ls, h.i + 1).l, F.lit(""))
+        below = lambda n: F.coalesce(F.get(ls, h.i + n).l, F.lit(""))
 
         def pieces(c: Column) -> Column:
             part = lambda g: F.regexp_extract_all(c.l, F.lit(RANGE_PARTS), F.lit(g))
@@ -317,22 +323,26 @@ def work_experience_expr(text: Column, as_of_year: int) -> Column:
                 year(F.regexp_extract(c.l, SINGLE_YEAR, 1)).alias("start"),
                 F.lit(None).cast("int").alias("end"),
                 F.trim(F.regexp_extract(c.l, SINGLE_YEAR, 2)).alias("after"),
-                F.lit("").alias("before"), c.next.alias("next"), c.seen.alias("seen")))
+                F.lit("").alias("before"), c.next.alias("next"),
+                c.after_next.alias("after_next"), c.seen.alias("seen")))
             ranges = let(F.struct(part(1).alias("s"), part(2).alias("e"), part(3).alias("a"),
                                   head.alias("h")), lambda p: F.transform(p.s, lambda s, k: F.struct(
                 year(s).alias("start"), year(F.get(p.e, k)).alias("end"),
                 F.trim(F.get(p.a, k)).alias("after"),
                 F.trim(F.when(k == 0, p.h).otherwise(F.get(p.a, k - 1))).alias("before"),
-                c.next.alias("next"), c.seen.alias("seen"))))
+                c.next.alias("next"),
+                c.after_next.alias("after_next"), c.seen.alias("seen"))))
             return F.when(c.l.rlike(_RANGE), ranges).otherwise(single)
 
         # a line that opens with a year and has no range stands for itself
-        box = F.struct(h.l.alias("l"), nxt.alias("next"), seen.alias("seen"))
-        alone = F.struct(h.l.alias("l"), F.lit("").alias("next"), F.lit(None).cast("string").alias("seen"))
+        box = F.struct(h.l.alias("l"), below(1).alias("next"), below(2).alias("after_next"),
+                       seen.alias("seen"))
+        alone = F.struct(h.l.alias("l"), F.lit("").alias("next"), F.lit("").alias("after_next"),
+                         F.lit(None).cast("string").alias("seen"))
         return let(F.when(h.l.rlike(_RANGE), box).otherwise(alone), lambda c: F.transform(
             pieces(c), lambda p: _entry(p)))
 
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda l: l != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), _trim), lambda l: l != "")
     marked = F.transform(lines, lambda l, i: F.struct(
         i.alias("i"), l.alias("l"), l.rlike(f"{_RANGE}|{SINGLE_YEAR}").alias("hit"),
         _skipped(l).alias("skip")))
@@ -436,7 +446,7 @@ def education_expr(text: Column, kv: Column, as_of_year: int) -> Column:
     kv_major = edu.clean_major(_key(kv, "专业"))
     # only texts that name a school at all are looked at line by line
     schooled = text.rlike(edu.SCHOOL)
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda l: l != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), _trim), lambda l: l != "")
 
     def collect(sect: Column) -> Column:
         return F.struct(
