@@ -45,7 +45,7 @@ def _(f):
 
 @query("extract_documents")
 def _(f):
-    return x.extract_all(f.table("documents"), AS_OF_YEAR, "doc_id").select(
+    return x.extract_all(f.documents, AS_OF_YEAR, "doc_id").select(
         "doc_id", "name", "gender", "birth_year", "age", "phone", "email", "earliest_work_year",
         F.size("work_experience").alias("n_experiences"), "highest_education", "school", "major",
         F.length("raw_text").alias("chars"))
@@ -53,13 +53,13 @@ def _(f):
 
 @query("experience_from_text")
 def _(f):
-    docs = f.table("documents").select("doc_id", clean_resume_text(F.col("text")).alias("text"))
+    docs = f.documents.select("doc_id", clean_resume_text(F.col("text")).alias("text"))
     return x.work_experience(docs, AS_OF_YEAR).select("doc_id", F.inline_outer("work_experience"))
 
 
 @query("clean_resume_text")
 def _(f):
-    return f.table("documents").select("doc_id", clean_resume_text(F.col("text")).alias("text"))
+    return f.documents.select("doc_id", clean_resume_text(F.col("text")).alias("text"))
 
 
 @query("key_values", """
@@ -78,7 +78,7 @@ def _(f):
 @query("key_sections", """
 SELECT doc_id, CASE WHEN length(text) <= 4000 THEN text ELSE substr(text, 1, 4000) || '...' END AS text FROM documents""")
 def _(f):
-    return f.table("documents").select("doc_id", key_sections("text", 4000).alias("text"))
+    return f.documents.select("doc_id", key_sections("text", 4000).alias("text"))
 
 
 @query("clean_names", """

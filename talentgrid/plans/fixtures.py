@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from talentgrid.session import spread
+
 SOURCES = ["region", "nation", "customer", "supplier", "part", "orders",
            "lineitem", "events", "documents", "conversations"]
 
@@ -108,6 +110,10 @@ class Fixtures:
         needs = [n for n in SOURCES + list(FIXTURES) if "{" + n + "}" in text]
         return self.spark.sql(text, **{n: self.table(n) for n in needs})
 
+    @property
+    def documents(self) -> DataFrame:
+        return spread(self.source("documents"))
+
     @property
     def resumes(self) -> DataFrame:
         return self.table("resumes_fx")

@@ -34,7 +34,7 @@ SELECT doc_id, length(text) AS chars, {cjk_sql('text')} AS cjk_chars, {uniq_sql(
  CASE WHEN length(text) > 0 THEN {cjk_sql('text')} / length(text) ELSE 0 END AS cjk_ratio FROM documents""")
 def _(f):
     stats = tx.text_stats(F.col("text"))
-    return f.table("documents").select("doc_id", *[
+    return f.documents.select("doc_id", *[
         c.cast("double" if n == "cjk_ratio" else "long").alias(n) for n, c in stats.items()])
 
 
@@ -42,12 +42,12 @@ def _(f):
 SELECT doc_id, length(t) >= 200 AND {cjk_sql('t')} >= 50 AND {cjk_sql('t')} >= length(t) * 0.1 AND {uniq_sql('t')} >= 50 AS accepted
 FROM (SELECT doc_id, {strip_sql('text')} AS t FROM documents) x""")
 def _(f):
-    return f.table("documents").select("doc_id", tx.accept_text(F.col("text")).alias("accepted"))
+    return f.documents.select("doc_id", tx.accept_text(F.col("text")).alias("accepted"))
 
 
 @query("ocr_repair", f"SELECT doc_id, {ocr_sql('text')} AS text FROM documents")
 def _(f):
-    return f.table("documents").select("doc_id", tx.ocr_repair(F.col("text")).alias("text"))
+    return f.documents.select("doc_id", tx.ocr_repair(F.col("text")).alias("text"))
 
 
 def clean_sql(c: str) -> str:
@@ -60,7 +60,7 @@ def clean_sql(c: str) -> str:
 
 @query("clean_document_text", f"SELECT doc_id, {clean_sql('text')} AS text FROM documents")
 def _(f):
-    return f.table("documents").select("doc_id", tx.clean_document_text(F.col("text")).alias("text"))
+    return f.documents.select("doc_id", tx.clean_document_text(F.col("text")).alias("text"))
 
 
 @query("clean_conversation_text", f"SELECT conv_id, turn, {clean_sql('text')} AS text FROM conversations")
@@ -90,21 +90,21 @@ SELECT doc_id, coalesce(string_agg(piece, chr(10) ORDER BY n, k), '') AS text FR
 
 @query("line_repair", _REPAIR)
 def _(f):
-    return f.table("documents").select("doc_id", tx.repair_line_breaks("text").alias("text"))
+    return f.documents.select("doc_id", tx.repair_line_breaks("text").alias("text"))
 
 
 @query("chunk_text", """
 SELECT doc_id, cast(i AS int) AS chunk_no, substr(text, i * 12000 + 1, 12000) AS chunk FROM (
  SELECT doc_id, text, unnest(range(0, greatest(1, cast(ceil(length(text) / 12000.0) AS bigint)))) AS i FROM documents) x""")
 def _(f):
-    return tx.chunk_text(f.table("documents"), "doc_id", "text")
+    return tx.chunk_text(f.documents, "doc_id", "text")
 
 
 @query("join_chunks", """
 SELECT doc_id, string_agg(substr(text, i * 500 + 1, 500), chr(10) ORDER BY i) AS text FROM (
  SELECT doc_id, text, unnest(range(0, greatest(1, cast(ceil(length(text) / 500.0) AS bigint)))) AS i FROM documents) x GROUP BY 1""")
 def _(f):
-    return tx.join_chunks(tx.chunk_text(f.table("documents"), "doc_id", "text", 500), "doc_id")
+    return tx.join_chunks(tx.chunk_text(f.documents, "doc_id", "text", 500), "doc_id")
 
 
 def score_sql(c: str) -> str:
@@ -120,7 +120,7 @@ SELECT doc_id, method, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_
  FROM (SELECT *, {strip_sql('text')} <> '' AND length(text) >= 50 AS ok, {score_sql('text')} AS sc FROM c) a) b WHERE rn = 1
 """)
 def _(f):
-    d = f.table("documents")
+    d = f.documents
     forms = F.array(
         F.struct(F.lit(1).alias("method_no"), F.lit("squeezed").alias("method"),
                  F.regexp_replace("text", r"\s+", " ").alias("text")),
@@ -133,14 +133,14 @@ def _(f):
 @query("emails", f"""
 SELECT doc_id, nullif(regexp_extract(text, '{contact.EMAIL}'), '') AS email FROM documents""")
 def _(f):
-    return f.table("documents").select("doc_id", contact.email(F.col("text")).alias("email"))
+    return f.documents.select("doc_id", contact.email(F.col("text")).alias("email"))
 
 
 @query("phones", rf"""
 SELECT doc_id, regexp_replace(nullif(regexp_extract(text, '(^|[^0-9])(1[3-9][0-9]{WS}?-?[0-9]{{4}}(?:{WS}|-)?[0-9]{{4}})([^0-9]|$)', 2), ''), '{WS}|-', '', 'g') AS phone FROM documents
 """.replace(f"{WS}?-?", f"(?:{WS}|-)?"))
 def _(f):
-    return f.table("documents").select("doc_id", contact.phone(F.col("text")).alias("phone"))
+    return f.documents.select("doc_id", contact.phone(F.col("text")).alias("phone"))
 
 
 def _edu_sql(strict: bool) -> str:
@@ -157,13 +157,13 @@ def _edu_sql(strict: bool) -> str:
 
 @query("education_level", _edu_sql(False))
 def _(f):
-    return f.table("documents").select(
+    return f.documents.select(
         "doc_id", education.detect_education(F.col("text")).alias("level"))
 
 
 @query("education_level_strict", _edu_sql(True))
 def _(f):
-    return f.table("documents").select(
+    return f.documents.select(
         "doc_id", education.detect_education(F.col("text"), strict=True).alias("level"))
 
 
@@ -189,7 +189,7 @@ SELECT doc_id, cast(CASE WHEN y BETWEEN 1980 AND {AS_OF_YEAR} THEN y END AS int)
 def _(f):
     t = F.col("text")
     ys = contact.years_in(t, AS_OF_YEAR)
-    return f.table("documents").select(
+    return f.documents.select(
         "doc_id", contact.year_in(t, AS_OF_YEAR).alias("first_year"),
         F.array_min(ys).alias("earliest"), F.size(ys).cast("long").alias("n"))
 

@@ -58,6 +58,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of few splits over all cores before costly per-row work.
+
+    A table in one small file is one task however many cores are idle.  A scan
+    that already has a split per core is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for stream state and sinks, in the cluster's checkpoint folder.
 
