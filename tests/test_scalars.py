@@ -103,6 +103,15 @@ def test_chunks_cover_the_text(spark):
         (1, 0): 12000, (1, 1): 12000, (1, 2): 2, (2, 0): 0, (3, 0): 12000}
 
 
+def test_key_sections(spark):
+    long = "x" * 600 + "工作经历" + "w" * 3500 + "教育经历" + "e" * 900
+    cut = lambda cap, t: one(spark, tx.key_sections("c", cap), t)
+    assert cut(10000, long) == long
+    got = cut(4500, long)
+    assert got.startswith("x" * 500 + "\n...\n工作经历" + "w" * 2996 + "\n...\n教育经历") and len(got) <= 4500
+    assert cut(20, "y" * 30) == "y" * 20 + "..."
+
+
 def test_best_extraction_first_when_none_qualifies(spark):
     df = spark.createDataFrame([(1, 1, "a", "x" * 40), (1, 2, "b", "y" * 40),
                                 (2, 1, "a", "短" * 10), (2, 2, "b", "中文" * 40)],
