@@ -123,3 +123,20 @@ def test_docx_and_ingest(spark, tmp_path):
         assert {n: r.parse_status for n, r in rows.items()} == {
             "a.docx": "success", "b.docx": "failed", "c.doc": "failed", "d.txt": "failed", "e.docx": "failed"}
         assert rows["a.docx"]["name"] == "张三" and rows["a.docx"].phone == "13912345678"
+
+
+def test_reextract(spark):
+    from talentgrid import schemas
+    from talentgrid.operators.maintain import conform
+    from talentgrid.operators.reextract import reextract
+    base = conform(spark.createDataFrame(
+        [(1, "a.docx", "旧", "姓名：新名 手机：13912345678", "西北大学"), (2, "b.docx", "乙", None, None),
+         (3, "c.docx", "丙", None, None), (4, "d.docx", "丁", None, None)],
+        "id long, file_path string, name string, raw_text string, school string"), schemas.RESUMES)
+    texts = spark.createDataFrame([("b.docx", "姓名：文件名 性别：女", None), ("c.docx", None, "坏")],
+                                  "path string, text string, error string")
+    r = {x.id: x for x in reextract(base, texts, 2026).collect()}
+    assert (r[1]["name"], r[1].phone, r[1].school, r[1].parse_status) == ("新名", "13912345678", "西北大学", "success")
+    assert (r[2]["name"], r[2].gender, r[2].parse_status) == ("文件名", "女", "success")
+    assert [(r[i]["name"], r[i].parse_status, r[i].error_message) for i in (3, 4)] == [
+        ("丙", "failed", "坏"), ("丁", "failed", "文件不存在")]
