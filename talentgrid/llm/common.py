@@ -142,3 +142,9 @@ def byte_file_system(uri: str):
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), os.path.abspath(uri))
+
+
+def small_enough(df: DataFrame, bytes_of_row, bound: int = 32 << 20) -> bool:
+    """Whether a stored table's rows have at most ``bound`` bytes in all, by counting them: such a table may be broadcast."""
+    from pyspark.sql import functions as F
+    return (df.agg(F.sum(bytes_of_row)).first()[0] or 0) <= bound

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, near_dedup, token_counts, token_files
+from talentgrid.llm import bpe, decontaminate, language, line_dedup, near_dedup, token_counts, token_files, twins
 from talentgrid.llm.common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query("op6_prefix_filter", twins.CONTAMINATION)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
+
+
 @query("op8_separator_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op9_deletion_neighbours", twins.LINES)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("op10_byte_cnn")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.predict(docs, language.learn(docs), keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
