@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, decontaminate, language, line_dedup, near_dedup, token_counts, token_files, twins
+from talentgrid.llm import (bpe, decontaminate, language, line_dedup, near_dedup, passages, secret_scan, token_counts,
+                            token_files, twins, vantage)
 from talentgrid.llm.common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"))
 
 
+@query("op3_zstd_novelty")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    kind = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    counts = [F.size(kind(k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(F.filter("spans", lambda x: x["kind"] != "novel")), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
+
+
+@query("op4_vantage_tree")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vantage.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 @query("op5_backtracking_bpe")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"))
@@ -50,6 +68,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
 
 
+@query("op7_paragraph_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query("op8_separator_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
