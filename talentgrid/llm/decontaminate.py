@@ -53,7 +53,7 @@ def _found(docs: DataFrame, windows: DataFrame, part: int, parts: int) -> DataFr
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", doc_text: str = "text",
                   item_id: str = "item_id", item_text: str = "text", prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), contaminated.
+    """One row for each row of ``docs``: doc_id, text_hash (xxhash64), n_words, n_hit, n_items, item_ids (sorted as strings), contaminated.
 
     A document word inside any occurrence of a window is hit. A null or wordless text has no words and no hits; so has an
     item. An item with a null id marks words but is not counted. Repeated items count once; repeated documents each get
@@ -97,6 +97,6 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, doc_id:
     none = F.array().cast("array<string>")
     return (docs.select("doc_id", "own", F.size("w").cast("long").alias("n_words"))
             .join(found, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("own") == F.col("own2")), "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            .select("doc_id", F.col("own").alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce(F.size(F.coalesce("item_ids", none)), F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("item_ids", none).alias("item_ids"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))

@@ -135,12 +135,13 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return [p[2] for p in pairs], [p[0] for p in pairs]
 
 
-def _predict(batches: Iterator[pa.RecordBatch], network: Broadcast) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], network: Broadcast, text_kept: bool) -> Iterator[pa.RecordBatch]:
+    """Adds lang_pred and score to the columns, of which the first is the text."""
     net = network.value
     tables = net.tables()
     step = WINDOW - max(WIDTHS) + 1
     for batch in batches:
-        for i, j, data, offsets in text_steps(batch.column(1)):
+        for i, j, data, offsets in text_steps(batch.column(0)):
             n = np.diff(offsets)
             windows = np.maximum(1, -(-(n - (WINDOW - step)) // step))
             doc = np.repeat(np.arange(j - i), windows)
@@ -155,25 +156,33 @@ def _predict(batches: Iterator[pa.RecordBatch], network: Broadcast) -> Iterator[
                 np.add.at(total, doc[part], p * weight[:, None])
             total /= total.sum(1, keepdims=True)
             best = total.argmax(1)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(i, j - i), pa.array([net.langs[k] for k in best]),
-                pa.array(np.clip(total[np.arange(j - i), best], 0, 1))], ["id", "lang_pred", "score"])
+            rows = batch.slice(i, j - i)
+            kept = [c for c in rows.schema.names if text_kept or c != rows.schema.names[0]]
+            yield pa.RecordBatch.from_arrays(
+                [*[rows.column(c) for c in kept], pa.array([net.langs[k] for k in best]),
+                 pa.array(np.clip(total[np.arange(j - i), best], 0, 1))], [*kept, "lang_pred", "score"])
 
 
-def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, lang_pred, score, and the columns ``keep``) for every row of ``docs``, from its text alone.
+def predict(docs: DataFrame, network: Network | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of ``docs``, lang_pred and score for every row, predicted from its text alone.
 
-    A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned (None).
+    A null text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned (None). Empty
+    and short texts are one padded window. Repeated rows, null ids and an empty table pass like others; ``keep`` may not
+    name lang_pred or score.
     """
     text = F.col(text_col).cast("string")
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
     if network is None:
-        return docs.select(id_col, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *keep)
+        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = docs.sparkSession.sparkContext.broadcast(network)
-    row = F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    shape = docs.select(row.alias("id")).schema["id"].dataType.simpleString()
-    got = docs.select(row.alias("id"), text.alias("text")).mapInArrow(partial(_predict, network=sent), f"id {shape}, lang_pred string, score double")
-    return got.select(F.col("id.id").alias(id_col), F.when(F.col("id.letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-                      F.when(F.col("id.letters"), F.col("score")).otherwise(0.0).alias("score"), *[F.col(f"id.k{i}").alias(c) for i, c in enumerate(keep)])
+    names = {c: "x_text" if c == text_col else f"x{i}" for i, c in enumerate(keep)}
+    rows = docs.select(text.alias("x_text"), *[F.col(c).alias(x) for c, x in names.items() if x != "x_text"], letters.alias("letters"))
+    text_kept = text_col in keep
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if text_kept or f.name != "x_text")
+    got = rows.mapInArrow(partial(_predict, network=sent, text_kept=text_kept), f"{shape}, lang_pred string, score double")
+    return got.select(*[F.col(x).alias(c) for c, x in names.items()],
+                      F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+                      F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:

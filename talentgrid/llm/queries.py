@@ -65,7 +65,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_prefix_filter", twins.CONTAMINATION)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
+    return found.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids", "text_hash")
 
 
 @query("op7_paragraph_minhash")
@@ -88,4 +88,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
-    return language.predict(docs, language.learn(docs), keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+    return language.predict(docs, language.learn(docs), keep=("doc_id", "held_out"))
