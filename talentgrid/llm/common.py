@@ -23,6 +23,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 _shipped: set[str] = set()
+_scratch: dict[str, str] = {}  # of local sessions, by application
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -45,8 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _scratch.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+        _scratch[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 

@@ -27,11 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
                  "edges")
     seen = None
     while True:
-        both = now.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            now.select(F.col("m").alias("u"), F.col("v").alias("v")))
+        both = now.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
+                                            F.struct(F.col("m").alias("u"), "v"))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(_hook(large.filter("u <> v").distinct()), "edges")
+        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(_hook(large.distinct()), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("v").alias("node"), F.col("m").alias("component")).union(
