@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType
 
@@ -33,17 +35,21 @@ def parse_model_json(text: Column, schema: DataType | str, default: Column | Non
 def match_analysis(text: Column) -> Column:
     """Match analysis of an answer: suggestions kept by format, score widened, level set.
 
-    An unreadable answer becomes score 50 with its opening as the analysis.
+    An unreadable answer becomes score 50 with its whole text as the analysis.  A score
+    may be a number or a numeral in quotes; a missing one counts as 60, one that is no
+    number stays unknown (NULL) with the answer's own level.
     """
     none = F.array().cast("array<string>")
     default = F.struct(
-        F.lit(50.0).alias("match_score"), F.lit("中等匹配").alias("match_level"),
-        F.substring(text, 1, 500).alias("detailed_analysis"), none.alias("strengths"),
+        F.lit("50").alias("match_score"), F.lit("中等匹配").alias("match_level"),
+        text.alias("detailed_analysis"), none.alias("strengths"),
         none.alias("weaknesses"), none.alias("suggestions")).cast(schemas.MATCH_ANALYSIS)
     def widen(a: Column) -> Column:
-        score = rescale_score(a.match_score)
+        raw = strip_ws(a.match_score).try_cast("double")
+        score = F.when(a.match_score.isNull() | raw.isNotNull(), rescale_score(raw))
         return F.struct(
-            score.alias("match_score"), match_level(score).alias("match_level"),
+            score.alias("match_score"),
+            F.when(score.isNull(), a.match_level).otherwise(match_level(score)).alias("match_level"),
             a.detailed_analysis.alias("detailed_analysis"), a.strengths.alias("strengths"),
             a.weaknesses.alias("weaknesses"), valid_suggestions(a.suggestions).alias("suggestions"))
     return let(parse_model_json(text, schemas.MATCH_ANALYSIS, default), widen)
@@ -53,7 +59,7 @@ def round_analysis(text: Column) -> Column:
     """Interview-round analysis of an answer; unreadable text becomes the summary."""
     none = F.array().cast("array<string>")
     default = F.struct(
-        F.substring(text, 1, 500).alias("summary"), none.alias("strengths"), none.alias("weaknesses"),
+        text.alias("summary"), none.alias("strengths"), none.alias("weaknesses"),
         F.lit("").alias("conclusion"), none.alias("next_questions")).cast(schemas.ROUND_ANALYSIS)
     return parse_model_json(text, schemas.ROUND_ANALYSIS, default)
 
@@ -63,13 +69,17 @@ def valid_suggestions(suggestions: Column) -> Column:
     return F.filter(suggestions, lambda s: s.rlike(r"(?U)\A【考核重点】.*?\s*[-—–]\s*【面试问题】"))
 
 
-def normalize_model(answer: Column, max_year: int = 2024) -> Column:
-    """Checked fields of a model answer struct; what fails its check is NULL."""
-    def text(c: Column, n: int) -> Column:
-        return let(strip_ws(c), lambda t: F.when(F.length(t).between(1, n), t))
+def normalize_model(answer: Column, as_of_year: int, max_chars: Mapping[str, int] | None = None) -> Column:
+    """Checked fields of a model answer struct; what fails its check is NULL.
+
+    No year lies after ``as_of_year``.  ``max_chars`` may bound the length of a field.
+    """
+    def text(c: Column, field: str = "") -> Column:
+        n = (max_chars or {}).get(field)
+        return let(strip_ws(c), lambda t: F.when((F.length(t) >= 1) & (F.lit(True) if n is None else F.length(t) <= n), t))
 
     def year(c: Column, low: int) -> Column:
-        return let(strip_ws(c).try_cast("int"), lambda y: F.when(y.between(low, max_year), y))
+        return let(strip_ws(c).try_cast("int"), lambda y: F.when(y.between(low, as_of_year), y))
 
     def level(edu: Column) -> Column:
         out = edu
@@ -78,8 +88,8 @@ def normalize_model(answer: Column, max_year: int = 2024) -> Column:
         return out
 
     def experience(e: Column) -> Column:
-        return F.struct(text(e.company, 10 ** 9).alias("company"),
-                        text(e.position, 10 ** 9).alias("position"),
+        return F.struct(text(e.company, "company").alias("company"),
+                        text(e.position, "position").alias("position"),
                         year(e.start_year, 1980).alias("start_year"),
                         year(e.end_year, 1980).alias("end_year"))
 
@@ -87,14 +97,14 @@ def normalize_model(answer: Column, max_year: int = 2024) -> Column:
         exps = F.filter(F.transform(m.work_experience, experience), lambda e: F.coalesce(
             e.company, e.position, e.start_year.cast("string"), e.end_year.cast("string")).isNotNull())
         return F.when(m.isNotNull(), F.struct(
-            text(F.regexp_replace(m["name"], "姓名[：:]", ""), 20).alias("name"),
+            text(F.regexp_replace(m["name"], "姓名[：:]", ""), "name").alias("name"),
             let(strip_ws(m.gender), lambda g: F.when(g.isin("男", "女"), g)).alias("gender"),
             year(m.birth_year, 1950).alias("birth_year"),
             let(F.regexp_replace(m.phone, r"(?U)\D", ""),
                 lambda d: F.when(F.length(d) == 11, d)).alias("phone"),
-            let(text(m.email, 100), lambda a: F.when(a.contains("@"), a)).alias("email"),
-            let(text(m.highest_education, 10 ** 9), level).alias("highest_education"),
-            text(m.school, 200).alias("school"), text(m.major, 200).alias("major"),
+            let(text(m.email, "email"), lambda a: F.when(a.contains("@"), a)).alias("email"),
+            let(text(m.highest_education, "highest_education"), level).alias("highest_education"),
+            text(m.school, "school").alias("school"), text(m.major, "major").alias("major"),
             exps.alias("work_experience")))
     return let(answer, check)
 

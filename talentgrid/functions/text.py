@@ -152,26 +152,6 @@ def join_chunks(chunks: DataFrame, key: str) -> DataFrame:
         F.array_join(F.transform(parts, lambda p: p.chunk), "\n").alias("text"))
 
 
-def key_sections(column: str, cap: int) -> Column:
-    """Long text cut to its opening and up to three key sections, ``cap`` characters in all.
-
-    A short text is returned whole.  This is a display cut on request; no other
-    operator reads its result.
-    """
-    found = ", ".join(f"if(instr({column}, '{k}') > 0, substring({column}, instr({column}, '{k}'), 3000), NULL)"
-                      for k in vocab.KEY_SECTIONS)
-    parts = f"slice(filter(array({found}), s -> s IS NOT NULL), 1, 3)"
-    room = "(a.room - length(s))"
-    step = (f"CASE WHEN a.room <= 200 AND a.started THEN a WHEN length(s) <= a.room THEN "
-            f"named_struct('out', a.out || '\\n...\\n' || s, 'room', {room} - 5, 'started', true) "
-            "WHEN a.room > 200 THEN named_struct('out', a.out || '\\n...\\n' || substring(s, 1, a.room), "
-            "'room', 0, 'started', true) ELSE named_struct('out', a.out, 'room', a.room, 'started', true) END")
-    cut = (f"substring(aggregate({parts}, named_struct('out', substring({column}, 1, 500), "
-           f"'room', {cap - 500}, 'started', false), (a, s) -> {step}, a -> a.out), 1, {cap})")
-    return F.expr(f"CASE WHEN length({column}) <= {cap} THEN {column} "
-                  f"WHEN size({parts}) > 0 THEN {cut} ELSE substring({column}, 1, {cap}) || '...' END")
-
-
 def parse_key_values(column: str) -> Column:
     """Map of ``label: value`` pairs in the text; the first value of a label wins.
 

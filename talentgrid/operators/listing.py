@@ -36,8 +36,8 @@ def filter_eq(df: DataFrame, **values: Any) -> DataFrame:
 
 def list_filtered(df: DataFrame, filters: Mapping[str, Any] | None,
                   exact: Iterable[str], like: Iterable[str], order: str,
-                  limit: int = 100, offset: int = 0) -> DataFrame:
-    """Optional AND filters, newest first, one page.
+                  limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Optional AND filters: every matching row, unordered, or one page, newest first.
 
     An ``exact`` key applies whenever it is present, so a NULL value matches no
     row; a ``like`` key applies only when it has text.
@@ -49,17 +49,20 @@ def list_filtered(df: DataFrame, filters: Mapping[str, Any] | None,
     for k in like:
         if filters.get(k):
             df = df.filter(like_ascii_ci(F.col(k), f"%{filters[k]}%"))
-    return df.orderBy(F.col(order).desc(), F.col("id").desc()).offset(offset).limit(limit)
+    if limit is None and not offset:
+        return df
+    df = df.orderBy(F.col(order).desc(), F.col("id").desc()).offset(offset)
+    return df if limit is None else df.limit(limit)
 
 
 def list_resumes(resumes: DataFrame, filters: Mapping[str, Any] | None = None,
-                 limit: int = 100, offset: int = 0) -> DataFrame:
+                 limit: int | None = None, offset: int = 0) -> DataFrame:
     return list_filtered(resumes, filters, ["parse_status"],
                          ["name", "applied_position"], "upload_time", limit, offset)
 
 
 def list_interviews(interviews: DataFrame, filters: Mapping[str, Any] | None = None,
-                    limit: int = 100, offset: int = 0) -> DataFrame:
+                    limit: int | None = None, offset: int = 0) -> DataFrame:
     return list_filtered(interviews, filters, ["resume_id", "status"], [],
                          "create_time", limit, offset)
 

@@ -107,7 +107,7 @@ def model_answers(f: Fixtures) -> DataFrame:
                             .otherwise(body).alias("answer"))
 
 
-_MODEL = """model AS (SELECT id, name, gender, CASE WHEN birth_year + 30 BETWEEN 1950 AND 2024 THEN birth_year + 30 END AS birth_year,
+_MODEL = f"""model AS (SELECT id, name, gender, CASE WHEN birth_year + 30 BETWEEN 1950 AND {AS_OF_YEAR} THEN birth_year + 30 END AS birth_year,
  CASE WHEN length(regexp_replace(phone,'[^0-9]','','g')) = 11 THEN regexp_replace(phone,'[^0-9]','','g') END AS phone, email,
  highest_education, school, major, 1 AS n_exp, 2010 AS y0 FROM resumes_fx WHERE id % 11 <> 0)"""
 
@@ -118,7 +118,7 @@ SELECT r.id, m.name, m.gender, cast(m.birth_year AS int) AS birth_year, m.phone,
  cast(m.n_exp AS int) AS n_exp, cast(m.y0 AS int) AS start_year FROM resumes_fx r LEFT JOIN model m ON r.id = m.id
 """, ("resumes_fx",))
 def _(f):
-    m = mj.normalize_model(mj.parse_model_json(F.col("answer"), schemas.MODEL_ANSWER, fenced=True))
+    m = mj.normalize_model(mj.parse_model_json(F.col("answer"), schemas.MODEL_ANSWER, fenced=True), AS_OF_YEAR)
     df = model_answers(f).select("id", m.alias("m"))
     return df.select("id", "m.name", "m.gender", "m.birth_year", "m.phone", "m.email",
                      "m.highest_education", "m.school", "m.major",
@@ -131,32 +131,38 @@ WITH {_MODEL}
 SELECT r.id, coalesce(m.name, r.name) AS name, coalesce(m.phone, r.phone) AS phone,
  cast(coalesce(m.birth_year, r.birth_year) AS int) AS birth_year,
  cast(CASE WHEN r.age_from_resume IS NOT NULL THEN r.age_from_resume WHEN m.id IS NOT NULL THEN {AS_OF_YEAR} - coalesce(m.birth_year, r.birth_year) END AS int) AS age,
- coalesce(m.highest_education, 'x') AS highest_education, cast(CASE WHEN m.id IS NOT NULL THEN 2010 ELSE e.y END AS int) AS earliest_work_year
+ coalesce(m.highest_education, r.highest_education) AS highest_education, cast(CASE WHEN m.id IS NOT NULL THEN 2010 ELSE e.y END AS int) AS earliest_work_year
 FROM resumes_fx r LEFT JOIN model m ON r.id = m.id LEFT JOIN (SELECT resume_id, min(start_year) AS y FROM experience_fx GROUP BY 1) e ON e.resume_id = r.id
 """, ("resumes_fx", "experience_fx"))
 def _(f):
     from talentgrid.functions.candidate import earliest_year
-    m = mj.normalize_model(mj.parse_model_json(F.col("answer"), schemas.MODEL_ANSWER, fenced=True))
+    m = mj.normalize_model(mj.parse_model_json(F.col("answer"), schemas.MODEL_ANSWER, fenced=True), AS_OF_YEAR)
     rule = f.resumes_with_experience().select(
         "id", "name", "gender", "birth_year", F.col("age_from_resume").alias("age"), "phone", "email",
-        F.lit("x").alias("highest_education"), "school", "major", "work_experience",
+        "highest_education", "school", "major", "work_experience",
         earliest_year(F.col("work_experience")).alias("earliest_work_year"))
     return mj.merge_extractions(rule, model_answers(f).select("id", m.alias("m")), AS_OF_YEAR).select(
         "id", "name", "phone", "birth_year", "age", "highest_education", "earliest_work_year")
 
 
 @query("match_analysis", """
-SELECT id, CASE WHEN raw_match_score IS NULL THEN 65 ELSE cast(floor(greatest(50, least(100, raw_match_score * cast(0.7 AS double) + 30))) AS int) END AS match_score,
+SELECT id, CASE WHEN raw_match_score IS NULL THEN 65 WHEN id % 5 = 1 THEN NULL WHEN id % 5 = 2 THEN 72
+   ELSE cast(floor(greatest(50, least(100, raw_match_score * cast(0.7 AS double) + 30))) AS int) END AS match_score,
+ CASE WHEN raw_match_score IS NULL THEN '中等匹配' WHEN id % 5 = 1 THEN '自评' WHEN id % 5 = 2 THEN '中等匹配'
+   WHEN raw_match_score * cast(0.7 AS double) + 30 >= 80 THEN '高度匹配' WHEN raw_match_score * cast(0.7 AS double) + 30 >= 60 THEN '中等匹配' ELSE '低度匹配' END AS match_level,
  CASE WHEN raw_match_score IS NULL THEN 0 ELSE 1 END AS n_suggestions, CASE WHEN raw_match_score IS NULL THEN 'no answer' ELSE 'fits' END AS analysis
 FROM resumes_fx""", ("resumes_fx",))
 def _(f):
+    raw = F.col("raw_match_score").cast("string")
+    score = (F.when(F.col("id") % 5 == 0, F.concat(F.lit('"'), raw, F.lit('"'))).when(raw.isNull(), raw)
+             .when(F.col("id") % 5 == 1, F.lit('"很高"')).when(F.col("id") % 5 == 2, F.lit("null")).otherwise(raw))
     answer = F.coalesce(F.concat(
-        F.lit('Here you are: {"match_score":'), F.col("raw_match_score").cast("string"),
+        F.lit('Here you are: {"match_score":'), score, F.lit(',"match_level":"自评"'),
         F.lit(',"detailed_analysis":"fits","suggestions":["【考核重点】沟通 - 【面试问题】如何?","建议您多练习"]} bye')),
         F.lit("no answer"))
     a = mj.match_analysis(answer)
     return f.resumes.select("id", a.alias("a")).select(
-        "id", "a.match_score", F.size("a.suggestions").alias("n_suggestions"),
+        "id", "a.match_score", "a.match_level", F.size("a.suggestions").alias("n_suggestions"),
         F.col("a.detailed_analysis").alias("analysis"))
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talentgrid.session import spread
 
 SOURCES = ["region", "nation", "customer", "supplier", "part", "orders",
            "lineitem", "events", "documents", "conversations"]
@@ -112,7 +111,7 @@ class Fixtures:
 
     @property
     def documents(self) -> DataFrame:
-        return spread(self.source("documents"))
+        return self.source("documents")
 
     @property
     def resumes(self) -> DataFrame:

@@ -176,17 +176,16 @@ def _(f):
 @query("resume_list_like", f"""
 SELECT id, name, applied_position FROM resumes_fx
 WHERE parse_status = 'success' AND lower(applied_position) LIKE '%mach%'
-ORDER BY upload_time DESC, id DESC LIMIT 100 OFFSET 100
 """, ("resumes_fx",))
 def _(f):
     return ls.list_resumes(f.resumes, {"parse_status": "success", "name": "",
-                                       "applied_position": "mach"}, 100, 100).select(
+                                       "applied_position": "mach"}).select(
         "id", "name", "applied_position")
 
 
 @query("interview_list_filter", f"""
 SELECT id, resume_id, status FROM (SELECT *, {STATUS} AS status FROM interviews_fx) x
-WHERE status = '面试通过' ORDER BY create_time DESC, id DESC LIMIT 100
+WHERE status = '面试通过'
 """, ("interviews_fx",))
 def _(f):
     return ls.list_interviews(with_status(f), {"status": "面试通过"}).select(
@@ -691,7 +690,9 @@ def _(f):
 
 @query("registration_rows", """
 SELECT id, coalesce(name,'') AS name, coalesce(applied_position,'') AS applied_position, coalesce(round1_result,'') AS ethnicity,
- coalesce(offer_department,'') || ' ' || coalesce(onboard_department,'') || ' ' AS address, 1 AS n_factors FROM interviews_fx
+ coalesce(offer_department,'') || ' ' || coalesce(onboard_department,'') || ' ' AS address, 1 AS n_factors,
+ CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN 'c' || id WHEN 2 THEN 'c' || id || '|d' ELSE 'c' || id || '|d|e' || id END AS companies
+FROM interviews_fx
 """, ("interviews_fx",))
 def _(f):
     rf = f.interviews.withColumns({
@@ -699,10 +700,16 @@ def _(f):
         "registration_form_address_province": F.col("offer_department"),
         "registration_form_address_city": F.col("onboard_department"),
         "registration_form_consideration_factors":
-            F.concat(F.lit('["'), F.col("id").cast("string"), F.lit('"]'))})
+            F.concat(F.lit('["'), F.col("id").cast("string"), F.lit('"]')),
+        "registration_form_recent_work_experience": F.when(F.col("id") % 4 > 0, F.concat(
+            F.lit('[{"company":"c'), F.col("id").cast("string"), F.lit('"}'),
+            F.when(F.col("id") % 4 > 1, F.lit(',{"company":"d"}')).otherwise(""),
+            F.when(F.col("id") % 4 > 2, F.concat(F.lit(',{"company":"e'), F.col("id").cast("string"), F.lit('"}'))).otherwise(""),
+            F.lit("]")))})
     return ex.registration_rows(rf).select(
         "id", "name", "applied_position", "ethnicity", "address",
-        F.size("factors").alias("n_factors"))
+        F.size("factors").alias("n_factors"),
+        F.array_join("work_experience.company", "|").alias("companies"))
 
 
 # --------------------------------------------------------------- maintenance

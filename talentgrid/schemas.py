@@ -13,7 +13,7 @@ EXPERIENCE = T.StructType([
 ])
 EXPERIENCES = T.ArrayType(EXPERIENCE)
 MATCH_ANALYSIS = T.StructType([
-    T.StructField("match_score", D), T.StructField("match_level", S),
+    T.StructField("match_score", S), T.StructField("match_level", S),
     T.StructField("detailed_analysis", S),
     T.StructField("strengths", T.ArrayType(S)),
     T.StructField("weaknesses", T.ArrayType(S)),

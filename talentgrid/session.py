@@ -22,8 +22,10 @@ def get_session(app: str = "talentgrid", cores: str | int = "*",
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or n))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # test tables are small: keep all local cores busy
+        # test tables are small: keep all local cores busy, also where a table is one small file
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.maxPartitionBytes", "4m").config("spark.sql.files.openCostInBytes", "64k")
+        .config("spark.sql.files.minPartitionNum", str(n))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
@@ -34,48 +36,38 @@ def get_session(app: str = "talentgrid", cores: str | int = "*",
     )
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    use_scratch_folder(spark)
+    return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the reliable checkpoint folder and read it from there.
+_scratch: dict[str, str] = {}
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  When
-    that is unset a local session gets a scratch folder of its own; any other
-    master keeps its lineage, because a machine-local folder would be lost
-    together with the executor that wrote it.
-    """
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        else:
-            return df
-    return df.checkpoint()
 
+def use_scratch_folder(spark: SparkSession) -> None:
+    """Let a local session without ``spark.checkpoint.dir`` use a scratch folder of this machine; no other session may."""
+    if spark.sparkContext.master.startswith("local[") and spark.conf.get("spark.checkpoint.dir", None) is None:
+        app = spark.sparkContext.applicationId
+        if app not in _scratch:
+            _scratch[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan of few splits over all cores before costly per-row work.
 
-    A table in one small file is one task however many cores are idle.  A scan
-    that already has a split per core is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def shared_base(spark: SparkSession) -> str:
+    """The folder every executor reaches: ``spark.checkpoint.dir``, or what ``use_scratch_folder`` chose."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _scratch.get(spark.sparkContext.applicationId)
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    return base.rstrip("/")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for stream state and sinks, in the cluster's checkpoint folder.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store ``df`` in the shared folder with ``checkpoint()`` and go on from there."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint()
 
-    Only a local session may fall back to a scratch folder of this machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        return tempfile.mkdtemp(prefix=f"spark-{name}-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for stream state and sinks, in the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

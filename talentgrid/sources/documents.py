@@ -15,19 +15,21 @@ from talentgrid.functions.basics import blank_to_null
 from talentgrid.functions.candidate import file_extension
 
 
-def eligible(name: Column, length: Column | None = None) -> Column:
-    """Accepted extension and, when a size is given, at most 10 MB."""
+def eligible(name: Column, length: Column | None = None, max_bytes: int | None = None) -> Column:
+    """Accepted extension and, when a bound is given, at most that many bytes."""
     ok = F.coalesce(file_extension(name).isin(vocab.ACCEPTED_EXTENSIONS), F.lit(False))
-    return ok if length is None else ok & (length <= vocab.MAX_FILE_BYTES)
+    return ok if length is None or max_bytes is None else ok & (length <= max_bytes)
 
 
-def scan_documents(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+def scan_documents(spark: SparkSession, path: str, content: bool = True, max_bytes: int | None = None) -> DataFrame:
     """Files under ``path`` with ``accepted``; rejected files stay in the table.
 
+    ``vocab.MAX_FILE_BYTES`` is the bound that an upload form sets; the scan has none by default.
+
     Without ``content`` only the listing is read: the bytes column is pruned.
     """
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-          .withColumn("accepted", eligible(F.col("path"), F.col("length"))))
+          .withColumn("accepted", eligible(F.col("path"), F.col("length"), max_bytes)))
     cols = ["path", "modificationTime", "length", "accepted"]
     return df.select(*cols, "content") if content else df.select(*cols)
 
@@ -78,11 +80,13 @@ def _docx_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text, error = None, None
             if str(path).lower().endswith(".doc"):
                 error = "不支持旧的 .doc 格式"
+            elif str(path).lower().endswith(".pdf"):
+                error = "不支持 PDF 格式"
             else:
                 try:
                     text = "\n".join(_docx_lines(data)) or None
                     error = None if text else "无法从Word文档中提取文本"
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
+                except Exception as e:  # damaged, encrypted or oddly packed: the file's row says so
                     error = f"Word文档解析失败: {e}"
             texts.append(text)
             errors.append(error)
@@ -93,7 +97,7 @@ def docx_text(files: DataFrame) -> DataFrame:
     """``path, text, error`` of Word files; failures are rows, never exceptions.
 
     Unzipping has no built-in, so this is one ``mapInPandas`` over the scan's
-    own partitions; at most 10 MB per row reaches Python in small batches.
+    own partitions, in small batches.  PDF and old Word files are reported as unsupported.
     """
     if "accepted" in files.columns:
         files = files.filter("accepted")

@@ -235,8 +235,11 @@ def round_report_rows(interviews: DataFrame) -> DataFrame:
     return per_round.select("id", "r.round", F.inline("r.rows"))
 
 
-def registration_rows(interviews: DataFrame) -> DataFrame:
-    """Registration form, flattened; the ethnicity is labelled as what it is."""
+def registration_rows(interviews: DataFrame, n: int | None = None) -> DataFrame:
+    """Registration form, flattened; the ethnicity is labelled as what it is.
+
+    All work experiences of the form, or its first ``n``.
+    """
     iv = interviews
     f = lambda n: F.coalesce(_col(iv, f"registration_form_{n}"), F.lit(""))
     plain = ["ethnicity", "birth_date", "marital_status", "has_children", "origin", "id_card",
@@ -246,11 +249,12 @@ def registration_rows(interviews: DataFrame) -> DataFrame:
              "email", "fill_date"]
     space = F.lit(" ")
     exp = ("array<struct<company:string,position:string,start_year:string,end_year:string>>")
+    experiences = json_list(f("recent_work_experience"), exp)
     return iv.select(
         "id", F.coalesce("name", F.lit("")).alias("name"),
         F.coalesce("applied_position", F.lit("")).alias("applied_position"),
         *[f(n).alias(n) for n in plain],
         F.concat(f("address_province"), space, f("address_city"), space,
                  f("address_district")).alias("address"),
-        F.slice(json_list(f("recent_work_experience"), exp), 1, 2).alias("work_experience"),
+        (experiences if n is None else F.slice(experiences, 1, n)).alias("work_experience"),
         json_list(f("consideration_factors")).alias("factors"))

@@ -103,15 +103,6 @@ def test_chunks_cover_the_text(spark):
         (1, 0): 12000, (1, 1): 12000, (1, 2): 2, (2, 0): 0, (3, 0): 12000}
 
 
-def test_key_sections(spark):
-    long = "x" * 600 + "工作经历" + "w" * 3500 + "教育经历" + "e" * 900
-    cut = lambda cap, t: one(spark, tx.key_sections("c", cap), t)
-    assert cut(10000, long) == long
-    got = cut(4500, long)
-    assert got.startswith("x" * 500 + "\n...\n工作经历" + "w" * 2996 + "\n...\n教育经历") and len(got) <= 4500
-    assert cut(20, "y" * 30) == "y" * 20 + "..."
-
-
 def test_best_extraction_first_when_none_qualifies(spark):
     df = spark.createDataFrame([(1, 1, "a", "x" * 40), (1, 2, "b", "y" * 40),
                                 (2, 1, "a", "短" * 10), (2, 2, "b", "中文" * 40)],
@@ -146,10 +137,10 @@ def test_model_answers(spark):
     answer = ('```json\n{"name":"姓名：高峰","gender":"male","birth_year":2025,"phone":"138 1234 5678",'
               '"email":"x","highest_education":"MBA研修","work_experience":[{"company":"甲","start_year":1970},'
               '{"company":"","position":null}]}\n```')
-    m = mj.normalize_model(mj.parse_model_json(F.col("c"), schemas.MODEL_ANSWER, fenced=True))
+    m = mj.normalize_model(mj.parse_model_json(F.col("c"), schemas.MODEL_ANSWER, fenced=True), 2026)
     r = one(spark, m, answer)
     assert (r["name"], r.gender, r.birth_year, r.phone, r.email, r.highest_education) == (
-        "高峰", None, None, "13812345678", None, "硕士")
+        "高峰", None, 2025, "13812345678", None, "硕士")
     assert [e.company for e in r.work_experience] == ["甲"] and r.work_experience[0].start_year is None
     assert one(spark, m, '{"highest_education":"函授"}').highest_education == "函授"
     assert one(spark, m, "not json") is None
@@ -158,6 +149,10 @@ def test_model_answers(spark):
     assert (a.match_score, a.match_level, a.suggestions) == (80, "高度匹配", ["【考核重点】a - 【面试问题】b"])
     bad = one(spark, mj.match_analysis(F.col("c")), "oops")
     assert (bad.match_score, bad.detailed_analysis, bad.suggestions) == (65, "oops", [])
+    long = "x" * 900
+    assert one(spark, mj.match_analysis(F.col("c")), long).detailed_analysis == long
+    assert [one(spark, mj.match_analysis(F.col("c")), f'{{"match_score": {v}, "match_level": "m"}}')[:2] for v in
+            ('"85"', "null", '"?"')] == [(89, "高度匹配"), (72, "中等匹配"), (None, "m")]
 
 
 def test_form_values_and_lists(spark):

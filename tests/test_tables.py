@@ -90,7 +90,8 @@ def test_registration_rows(spark):
     ).withColumn("applied_position", F.lit(None).cast("string"))
     r = ex.registration_rows(df).first()
     assert (r.ethnicity, r.address, r.factors) == ("汉", "省  区", [])
-    assert [e.company for e in r.work_experience] == ["a", "b"]
+    assert [e.company for e in r.work_experience] == ["a", "b", "c"]
+    assert [e.company for e in ex.registration_rows(df, 2).first().work_experience] == ["a", "b"]
 
 
 def test_report_suggestions(spark):
