@@ -13,10 +13,11 @@ ones miss less.
 
 No bucket is expanded into its pairs. Texts of the same words collapse first. Up to ``small`` members are paired with each
 other; in a larger bucket each member is paired with its hub, the member whose sketches are the most shared (for a text and
-its many copies that is the text). Members of large buckets that no hub's class takes in, such as texts that hold one
+its many copies that is the text). Members of large buckets that their hub is no partner of, such as texts that hold one
 common passage, go on to an exact prefix filter: k-mers are ordered by rarity among those texts, and two similar enough
-texts must share one of their n - ceil(t n) + 1 rarest. What is still in a large bucket there is compared with ever more
-hubs until nothing is left over.
+texts must share one of their n - ceil(t n) + 1 rarest. Where such a k-mer stands in that order bounds what two texts can
+still share, so a text leaves a bucket whose shortest text is too long for it; what stays is compared with hubs, the
+shortest texts first and ever more of them, until nothing is left over.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentgrid.llm.common import Words, mix, stored, text_steps
+from talentgrid.llm.common import Words, mix, small_enough, stored, text_steps
 from talentgrid.llm.components import components
 
 K, PICKS, SKETCHES, THRESHOLD, SMALL = 5, 4, 24, 0.8, 16
@@ -148,40 +149,58 @@ def _align(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Itera
                                           pa.array(similarity, pa.float64())], ["a", "b", "similarity"])
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of stored ``ids``; few enough ids go to the texts, so that other texts are not shuffled."""
+    return texts.join(F.broadcast(ids) if small_enough(ids, F.lit(8)) else ids, "id", "left_semi")
+
+
 def aligned_pairs(pairs: DataFrame, texts: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """The links (a, b, similarity) among candidate ``pairs`` (a, b); ``texts``: (id, text)."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
+    texts = _texts_of(texts, ids)
     sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     sides = sides.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(
         partial(_align, k=k, threshold=threshold), "a long, b long, similarity double")
 
 
-def _paired(rows: DataFrame, small: int, hubs: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of buckets (key, id, weight, n), and the rows (key, id, weight, n, hub) of the large ones."""
+def _able(threshold: float, n: Column, m: Column, r: Column, q: Column) -> Column:
+    """Whether texts of n and m k-mers, r and q of them from a shared one on, may be similar enough."""
+    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (F.least(r, q) * (1 + threshold) >= threshold * (n + m) - 1e-6)
+
+
+def _paired(rows: DataFrame, small: int, hubs: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of buckets (key, id, weight, n, r): candidate pairs (a, b); members of the large ones, but hubs; (key, id, hub) of these."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = rows.join(sizes, "key")
     few = rows.filter(F.col("size") <= small)
     large = rows.filter(F.col("size") > small).drop("size")
     top = (large.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id")))
-           .filter(F.col("nth") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("n_hub")))
-    fit = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    near = (few.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"))
-            .join(few.select("key", F.col("id").alias("b"), F.col("n").alias("n_b")), "key")
-            .filter("a < b").filter(fit(F.col("n_a"), F.col("n_b"))))
-    far = large.join(top, "key").filter("id <> hub").filter(fit(F.col("n"), F.col("n_hub")))
+           .filter(F.col("nth") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("r").alias("r_hub")))
+    near = (few.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"))
+            .join(few.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b")), "key")
+            .filter("a < b").filter(_able(threshold, F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"))))
+    members = large.join(top.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
+    far = members.join(top, "key").filter(_able(threshold, F.col("n"), F.col("n_hub"), F.col("r"), F.col("r_hub")))
+    far = stored(far.select("key", "id", "hub"), "hubs")
     pairs = near.select("a", "b").union(far.select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct()
-    return pairs, large.join(top.select("key", F.col("hub").alias("id"), F.lit(True).alias("hub")), ["key", "id"], "left")
+    return pairs, members, far
 
 
 def _rare(texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(key, id, n): the rarest k-mers of each text, enough for any two similar ones to share one."""
+    """(key, id, weight, n, r): the rarest k-mers of each text, enough for any two similar ones to share one; r counts the
+    k-mers from this one on. Rows that can have no partner in their bucket are left out."""
     every = stored(texts.mapInArrow(partial(_kmers, k=k), "id long, n long, kmers array<long>"), "kmers").select(
         "id", "n", F.explode("kmers").alias("key"))
     common = every.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("texts", F.lit(1)), "key"))
-    return (every.join(common, "key", "left").withColumn("rank", rank)
+    rows = (every.join(common, "key", "left").withColumn("rank", rank)
             .filter(F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).filter("texts > 1")
-            .select("key", "id", "n"))
+            .select("key", "id", (-F.col("n")).alias("weight"), "n", (F.col("n") - F.col("rank") + 1).alias("r")))
+    rows = stored(rows, "rare-kmers")
+    least = rows.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("members")).filter("members > 1")
+    return rows.join(least, "key").filter(F.col("r") * (1 + threshold) >= threshold * (F.col("n") + F.col("least")) - 1e-6).select(
+        "key", "id", "weight", "n", "r")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, picks: int = PICKS,
@@ -201,30 +220,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = owners.select("id", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = stored(keys.join(shared, "key"), "shared-sketches")
-    rows = rows.drop("size").join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id")
-    links, tried, hubs, label = [], [], 1, None
+    rows = rows.drop("size").join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id").withColumn("r", F.col("n"))
+    links, tried, hubs, exact = [], [], 1, False
     while True:
-        pairs, large = _paired(rows, small, hubs, threshold)
+        pairs, members, far = _paired(rows, small, hubs, threshold)
         for old in tried:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs, large = stored(pairs, "pairs"), stored(large, "large-buckets")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        links.append(stored(aligned_pairs(pairs, texts.join(ids, "id", "left_semi"), k, threshold), "links"))
+        pairs = stored(pairs, "pairs")
+        links.append(stored(aligned_pairs(pairs, texts, k, threshold), "links"))
         tried.append(pairs)
-        if label is None or not links[-1].isEmpty():
-            label = components(reduce(DataFrame.union, links).select("a", "b"))
-        large = large.join(label, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-        rest = large.filter("hub IS NULL").join(large.filter("hub").select("key", "component").distinct(),
-                                                ["key", "component"], "left_anti").select("key", "id", "weight", "n")
-        if hubs == 1:
+        known_links = reduce(DataFrame.union, links).select(F.col("a").alias("id"), F.col("b").alias("hub"))
+        known_links = known_links.union(known_links.select("hub", "id"))
+        taken = far.join(known_links, ["id", "hub"]).select("key", "id").distinct()
+        rest = members.join(taken, ["key", "id"], "left_anti")
+        if not exact:
             some = stored(rest.select("id").distinct(), "left-over")
-            rest = _rare(texts.join(some, "id", "left_semi"), k, threshold)
-            rest = rest.join(rest.groupBy("id").agg(F.count("*").alias("weight")), "id")
-            hubs = small
-        rest = stored(rest, "left-over")
-        if rest.isEmpty():
+            rest = _rare(_texts_of(texts, some), k, threshold)
+        hubs, exact = hubs * 8, True
+        rows = stored(rest, "left-over")
+        if rows.isEmpty():
             break
-        rows, hubs = rest, hubs * 2
+    label = components(reduce(DataFrame.union, links).select("a", "b"))
     classes = first.join(label, F.col("rep") == F.col("node"), "left").select(
         "norm", F.coalesce("component", "rep").alias("least"))
     return (made.select("id", "norm").join(classes, "norm", "left")
