@@ -13,11 +13,11 @@ ones miss less.
 
 No bucket is expanded into its pairs. Texts of the same words collapse first. Up to ``small`` members are paired with each
 other; in a larger bucket each member is paired with its hub, the member whose sketches are the most shared (for a text and
-its many copies that is the text). Members of large buckets that their hub is no partner of, such as texts that hold one
-common passage, go on to an exact prefix filter: k-mers are ordered by rarity among those texts, and two similar enough
-texts must share one of their n - ceil(t n) + 1 rarest. Where such a k-mer stands in that order bounds what two texts can
-still share, so a text leaves a bucket whose shortest text is too long for it; what stays is compared with hubs, the
-shortest texts first and ever more of them, until nothing is left over.
+its many copies that is the text). Members that their hub is no partner of, such as texts that hold one common passage, stay
+open: with all the other members of their buckets they go on to an exact prefix filter. K-mers are ordered by rarity among
+those texts, and two similar enough texts must share one of their n - ceil(t n) + 1 rarest. Where such a k-mer stands in
+that order bounds what two texts can still share, so a text leaves a bucket whose shortest text is too long for it; what
+stays is compared with hubs, the shortest texts first and ever more of them, until no text is open.
 """
 
 from __future__ import annotations
@@ -170,21 +170,23 @@ def _able(threshold: float, n: Column, m: Column, r: Column, q: Column) -> Colum
 
 
 def _paired(rows: DataFrame, small: int, hubs: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of buckets (key, id, weight, n, r): candidate pairs (a, b); members of the large ones, but hubs; (key, id, hub) of these."""
+    """Of buckets (key, id, weight, n, r, open): candidate pairs (a, b), one of them open; the members of the large buckets
+    without their hubs; and (key, id, hub) of the members and hubs paired."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = rows.join(sizes, "key")
     few = rows.filter(F.col("size") <= small)
     large = rows.filter(F.col("size") > small).drop("size")
-    top = (large.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id")))
-           .filter(F.col("nth") <= hubs).select("key", F.col("id").alias("hub"), F.col("n").alias("n_hub"), F.col("r").alias("r_hub")))
-    near = (few.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("r").alias("r_a"))
-            .join(few.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("r").alias("r_b")), "key")
-            .filter("a < b").filter(_able(threshold, F.col("n_a"), F.col("n_b"), F.col("r_a"), F.col("r_b"))))
-    members = large.join(top.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-    far = members.join(top, "key").filter(_able(threshold, F.col("n"), F.col("n_hub"), F.col("r"), F.col("r_hub")))
-    far = stored(far.select("key", "id", "hub"), "hubs")
-    pairs = near.select("a", "b").union(far.select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct()
-    return pairs, members, far
+    named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "r", "open")])
+    able = lambda x, y: (F.col(f"open_{x}") | F.col(f"open_{y}")) & _able(
+        threshold, F.col(f"n_{x}"), F.col(f"n_{y}"), F.col(f"r_{x}"), F.col(f"r_{y}"))
+    near = named(few, "a").join(named(few, "b"), "key").filter("id_a < id_b").filter(able("a", "b"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id"))
+    top = named(large.withColumn("nth", nth).filter(F.col("nth") <= hubs), "h")
+    members = large.join(top.select("key", F.col("id_h").alias("id")), ["key", "id"], "left_anti")
+    far = named(large, "m").join(top, "key").filter("id_m <> id_h").filter(able("m", "h"))
+    far = stored(far.select("key", F.col("id_m").alias("id"), F.col("id_h").alias("hub")), "hubs")
+    pairs = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(far.select(F.least("id", "hub"), F.greatest("id", "hub")))
+    return pairs.distinct(), members, far
 
 
 def _rare(texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -220,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = owners.select("id", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = stored(keys.join(shared, "key"), "shared-sketches")
-    rows = rows.drop("size").join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id").withColumn("r", F.col("n"))
+    rows = rows.drop("size").join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id").withColumns(
+        {"r": F.col("n"), "open": F.lit(True)})
     links, tried, hubs, exact = [], [], 1, False
     while True:
         pairs, members, far = _paired(rows, small, hubs, threshold)
@@ -231,15 +234,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried.append(pairs)
         known_links = reduce(DataFrame.union, links).select(F.col("a").alias("id"), F.col("b").alias("hub"))
         known_links = known_links.union(known_links.select("hub", "id"))
-        taken = far.join(known_links, ["id", "hub"]).select("key", "id").distinct()
-        rest = members.join(taken, ["key", "id"], "left_anti")
-        if not exact:
-            some = stored(rest.select("id").distinct(), "left-over")
-            rest = _rare(_texts_of(texts, some), k, threshold)
-        hubs, exact = hubs * 8, True
-        rows = stored(rest, "left-over")
-        if rows.isEmpty():
+        taken = far.join(known_links, ["id", "hub"]).select("key", "id", F.lit(True).alias("taken")).distinct()
+        members = members.join(taken, ["key", "id"], "left").withColumn("open", F.col("open") & F.col("taken").isNull()).drop("taken")
+        members = stored(members.join(members.filter("open").select("key").distinct(), "key", "left_semi"), "left-over")
+        if members.isEmpty():
             break
+        if exact:
+            rows = members
+        else:
+            some = stored(members.groupBy("id").agg(F.max("open").alias("open")), "left-over-texts")
+            rows = stored(_rare(_texts_of(texts, some.select("id")), k, threshold).join(some, "id"), "left-over")
+        hubs, exact = hubs * 8, True
     label = components(reduce(DataFrame.union, links).select("a", "b"))
     classes = first.join(label, F.col("rep") == F.col("node"), "left").select(
         "norm", F.coalesce("component", "rep").alias("least"))
