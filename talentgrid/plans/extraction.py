@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talentgrid import schemas
-from talentgrid.functions import model_json as mj
+from talentgrid.functions import contact, model_json as mj
 from talentgrid.functions.candidate import resolve_age
 from talentgrid.functions.education import clean_major, clean_school
 from talentgrid.functions.text import clean_resume_text, parse_key_values
@@ -217,6 +217,58 @@ def _(f):
     return upsert_extracted(base, new, AS_OF_YEAR).select("id", "name", "school", "age", "parse_status")
 
 
+# ------------------------------------------- Chinese texts with known values
+def _cv(f: Fixtures) -> DataFrame:
+    return x.cleaned(f.table("cv_fx"), "id")
+
+
+@query("extract_names", "SELECT id, name FROM cv_fx", ("cv_fx",))
+def _(f):
+    return _cv(f).select("id", x.name_expr(F.col("t"), F.col("kv")).alias("name"))
+
+
+@query("extract_gender", "SELECT id, gender FROM cv_fx", ("cv_fx",))
+def _(f):
+    return _cv(f).select("id", x.gender_expr(F.col("t"), F.col("kv")).alias("gender"))
+
+
+@query("extract_contacts", """
+SELECT id, CASE WHEN id % 6 IN (0, 1) THEN phone END AS phone, CASE WHEN id % 6 IN (1, 5) THEN email END AS email FROM cv_fx
+""", ("cv_fx",))
+def _(f):
+    return _cv(f).select("id", contact.phone_expr(F.col("t"), F.col("kv")).alias("phone"),
+                         contact.email_expr(F.col("t"), F.col("kv")).alias("email"))
+
+
+@query("extract_birth", f"""
+SELECT id, CASE WHEN id % 6 IN (0, 3, 4) THEN birth_year END AS birth_year,
+ CASE WHEN id % 6 IN (0, 3, 4) THEN {AS_OF_YEAR} - birth_year ELSE cast(age AS int) END AS age FROM cv_fx
+""", ("cv_fx",))
+def _(f):
+    t, kv = F.col("t"), F.col("kv")
+    df = _cv(f).select("id", "t", "kv", x.birth_year_expr(t, kv, AS_OF_YEAR).alias("birth_year"))
+    return df.select("id", "birth_year", x.age_expr(t, kv, F.col("birth_year"), AS_OF_YEAR).alias("age"))
+
+
+@query("extract_education", "SELECT id, level AS highest_education, school, major FROM cv_fx", ("cv_fx",))
+def _(f):
+    e = x.education_expr(F.col("t"), F.col("kv"), AS_OF_YEAR)
+    return _cv(f).select("id", e.alias("e")).select("id", "e.highest_education", "e.school", "e.major")
+
+
+@query("extract_experience", """
+SELECT id, CASE WHEN id % 6 = 4 OR n_jobs = 0 THEN '' ELSE
+   CASE WHEN n_jobs = 3 THEN c3 || '/' || position || '/2018/now;' ELSE '' END ||
+   CASE WHEN n_jobs >= 2 THEN c2 || '/' || position || '/2013/2017;' ELSE '' END ||
+   c1 || '/' || position || '/2010/2013;' END AS jobs FROM cv_fx
+""", ("cv_fx",))
+def _(f):
+    jobs = F.transform(F.col("e"), lambda e: F.concat(F.concat_ws(
+        "/", e.company, e.position, e.start_year.cast("string"), F.coalesce(e.end_year.cast("string"), F.lit("now"))), F.lit(";")))
+    return _cv(f).select("id", x.work_experience_expr(F.col("t"), AS_OF_YEAR).alias("e")).select(
+        "id", F.array_join(jobs, "").alias("jobs"))
+
+
 @query("ages_derived", f"""
 SELECT id, cast(CASE WHEN birth_year IS NOT NULL THEN {AS_OF_YEAR} - birth_year END AS int) AS age FROM resumes_fx""",
        ("resumes_fx",))

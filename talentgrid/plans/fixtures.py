@@ -86,10 +86,41 @@ SELECT cast(row_number() OVER (ORDER BY c_mktsegment) AS bigint) AS id, c_mktseg
 FROM (SELECT DISTINCT c_mktsegment FROM {customer}) x
 """
 
+# Chinese résumé texts in six layouts, with the values that are in them
+CV_FX = """
+SELECT *, CASE id % 6
+    WHEN 0 THEN '姓名：' || name || nl || '性别：' || gender || nl || '出生年月：' || by4 || '年5月' || nl || '电话：' || phone || nl || '学历：' || level || nl || '毕业院校：' || school || nl || '专业：' || major || nl || '工作经历' || nl || jobs
+    WHEN 1 THEN phone || ' ' || email || nl || name || ' ' || gender || ' | ' || age || '岁' || nl || '教育经历' || nl || school || '，' || level || '，' || major || nl || '工作经历' || nl || jobs
+    WHEN 2 THEN name || nl || gender || '|' || age || '岁' || nl || '教育背景' || nl || '2006-2010 ' || school || ' ' || level || ' ' || major || nl || '工作经验' || nl || jobs
+    WHEN 3 THEN '个人简历' || nl || '姓名：' || name || nl || '性别：' || gender || nl || '出生日期：' || by4 || '-05-06' || nl || '学历：' || level || nl || '工作经历' || nl || jobs || nl || '教育背景' || nl || '毕业院校：' || school || nl || '专业：' || major
+    WHEN 4 THEN '基本信息' || nl || '姓名 ' || name || nl || '性别 ' || gender || nl || '生日：' || by4 || '年5月6日' || nl || '最高学历：' || level || nl || '毕业院校：' || school || nl || '专业：' || major
+    ELSE '邮箱：' || email || nl || '姓名：' || name || nl || '性别：' || gender || nl || '年龄：' || age || '岁' || nl || '学历：' || level || nl || '毕业院校：' || school || nl || '专业：' || major || nl || '工作经历' || nl || jobs END AS text
+FROM (SELECT *,
+    CASE n_jobs WHEN 0 THEN '' WHEN 1 THEN j1 WHEN 2 THEN j2 || nl || j1 ELSE j3 || nl || j2 || nl || j1 END AS jobs
+  FROM (SELECT *,
+      '2010.03-2013.06 ' || c1 || ' ' || position AS j1, '2013.07-2017.08 ' || c2 || ' ' || position AS j2,
+      '2018年1月-至今 ' || c3 || ' ' || position AS j3
+    FROM (SELECT id, chr(10) AS nl,
+        substr('王李张刘陈杨赵黄周吴', cast(1 + id % 10 AS int), 1) || substr('伟芳娜敏静丽强磊军洋', cast(1 + cast(floor(id / 10) AS bigint) % 10 AS int), 1)
+          || CASE WHEN id % 3 = 0 THEN '' ELSE substr('明红华建国平秀兰志', cast(1 + cast(floor(id / 7) AS bigint) % 9 AS int), 1) END AS name,
+        CASE WHEN id % 2 = 0 THEN '男' ELSE '女' END AS gender,
+        cast(1965 + id % 35 AS int) AS birth_year, cast(1965 + id % 35 AS string) AS by4, cast(22 + id % 30 AS string) AS age,
+        cast(13000000000 + (id * 104729) % 1000000000 AS string) AS phone, 'u' || cast(id AS string) || '@mail.example.com' AS email,
+        replace(highest_education, '高中', '专科') AS level,
+        CASE id % 5 WHEN 0 THEN '武汉大学' WHEN 1 THEN '浙江工业大学' WHEN 2 THEN '四川美术学院' WHEN 3 THEN '东北财经大学' ELSE '厦门理工学院' END AS school,
+        CASE id % 4 WHEN 0 THEN '会计学' WHEN 1 THEN '工商管理' WHEN 2 THEN '土木工程' ELSE '法学' END AS major,
+        CASE id % 3 WHEN 0 THEN '会计' WHEN 1 THEN '销售经理' ELSE '工程师' END AS position,
+        cast(cast(floor(id / 6) AS bigint) % 4 AS int) AS n_jobs,
+        CASE id % 4 WHEN 0 THEN '宏远' WHEN 1 THEN '天成' WHEN 2 THEN '博雅' ELSE '金桥' END || '科技有限公司' AS c1,
+        CASE id % 3 WHEN 0 THEN '永安' WHEN 1 THEN '新都' ELSE '长江' END || '贸易有限公司' AS c2,
+        CASE id % 5 WHEN 0 THEN '联创' WHEN 1 THEN '海川' ELSE '恒信' END || '集团' AS c3
+      FROM {resumes_fx}) a) b) c
+"""
+
 FIXTURES = {
     "li_fx": LI_FX, "resumes_fx": RESUMES_FX, "experience_fx": EXPERIENCE_FX,
     "interviews_fx": INTERVIEWS_FX, "users_fx": USERS_FX,
-    "positions_fx": POSITIONS_FX,
+    "positions_fx": POSITIONS_FX, "cv_fx": CV_FX,
 }
 
 
