@@ -62,20 +62,42 @@ def _near(text: Column, anchor: str, before: int, checked: bool) -> Column:
     return let(window, pick)
 
 
-def name_rules(text: Column, kv: Column) -> dict[str, Column]:
+def _around(text: Column, anchor: str, before: int, after: int) -> Column:
+    """Last name-like run from ``before`` characters ahead of the first anchor match to ``after`` from its start on."""
+    start = F.length(F.regexp_extract(text, rf"(?s)\A(.*?)(?:{anchor})", 1))
+    begin = F.greatest(start - before, F.lit(0))
+    window = F.when(text.rlike(anchor), F.substr(text, begin + 1, start + after - begin))
+    runs = F.filter(F.regexp_extract_all(window, F.lit(f"({SHORT_NAME})"), F.lit(1)), lambda r: ~r.isin(vocab.NOT_A_NAME))
+    return F.try_element_at(runs, F.lit(-1))
+
+
+def _opening_name(text: Column) -> Column:
+    """First line of 2 to 6 Chinese characters without a label word, else the first clean stretch between labels."""
+    stops = "|".join(vocab.NAME_LABEL_STOPS)
+    chinese = lambda l: F.regexp_replace(l, "[^一-龥]", "")
+    fits = lambda n: F.length(n).between(2, 6) & ~n.isin(vocab.NOT_A_NAME)
+    alone = F.filter(F.transform(F.filter(F.split(text, "\n"), lambda l: ~l.rlike(f"{stops}|城市|薪资")), chinese), fits)
+    # a run of characters that no label stands within ten characters of, on either side
+    clear = F.regexp_replace(text, rf"(?s).{{0,10}}(?:{stops}).{{0,10}}", "\n")
+    runs = F.filter(F.regexp_extract_all(clear, F.lit("([一-龥]{2,})"), F.lit(1)), lambda r: ~r.isin(vocab.NOT_A_NAME))
+    return F.coalesce(F.get(alone, F.lit(0)), F.substring(F.get(runs, F.lit(0)), 1, 2))
+
+
+def name_rules(text: Column, kv: Column, near_start: int | None = None) -> dict[str, Column]:
+    """``near_start`` may bound how far into the text a short line counts as a name; a line with a contact word always does."""
     mail, mobile = contact.EMAIL_SCAN, r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])"
     labelled = F.regexp_replace(_key(kv, "姓名"), "[^一-龥A-Za-z·• ]", "")
     alias = first_match(text, rf"(?:姓名|中文名|中文姓名|英文姓名|英文)\s*[:：]?\s*({NAME})", 1)
     titled = first_match(text, rf"(?U)({NAME})\s*(?:先生|女士|男|女)\b", 1)
     mailed = text.contains("@")
     after_mail = F.when(mailed, first_match(text, rf"(?s)(?:{mail})(.{{0,30}})", 1))
-    lines = F.slice(F.split(text, "\n"), 1, 30)
-    squeezed = F.transform(lines, lambda l: F.regexp_replace(l, r"\s", ""))
-    short = F.filter(
-        F.transform(F.filter(squeezed, lambda l: F.length(l).between(2, 10)),
-                    lambda l: F.regexp_replace(l, "[^一-龥]", "")),
-        lambda n: F.length(n).between(2, 6) & ~n.isin(vocab.NOT_A_NAME))
-    opening = first_match(F.substring(text, 1, 300), f"({SHORT_NAME})", 1)
+    squeezed = F.filter(F.transform(F.split(text, "\n"), lambda l: F.struct(
+        F.regexp_replace(l, r"\s", "").alias("l"), F.trim(l).alias("own"))), lambda l: F.length(l.l).between(2, 10))
+    if near_start is not None:
+        squeezed = F.filter(squeezed, lambda l: contains_any(F.lower(l.own), vocab.CONTACT_WORDS)
+                            | (F.instr(text, l.own) <= near_start))
+    short = F.filter(F.transform(squeezed, lambda l: F.regexp_replace(l.l, "[^一-龥]", "")),
+                     lambda n: F.length(n).between(2, 6) & ~n.isin(vocab.NOT_A_NAME))
     return {
         "key_value": _real_name(_cut_name(first_match(F.trim(labelled), f"\\A{NAME}"))),
         "label": _real_name(_cut_name(alias)),
@@ -83,9 +105,9 @@ def name_rules(text: Column, kv: Column) -> dict[str, Column]:
         "after_email": _real_name(first_match(after_mail, NAME)),
         "before_email": F.when(mailed, _near(text, mail, 50, True)),
         "before_phone": _near(text, mobile, 50, True),
-        "around_contact": _near(text, f"{mail}|{mobile}", 60, False),
+        "around_contact": _around(text, f"{mail}|{mobile}", 60, 40),
         "short_line": F.get(short, F.lit(0)),
-        "opening": _real_name(opening),
+        "opening": _opening_name(text),
     }
 
 

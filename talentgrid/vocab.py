@@ -5,9 +5,6 @@ a caller extends a rule by passing a longer list.
 """
 
 # --- fixed values: declared domains ---------------------------------------
-EDUCATION_LEVELS = ["博士", "硕士", "本科", "专科", "高中", "中专", "初中", "其他"]
-PARSE_STATUSES = ["pending", "processing", "success", "failed"]
-ROLES = ["admin", "manager", "employee"]
 MATCH_LEVELS = ["高度匹配", "中等匹配", "低度匹配"]
 PASS_STATUSES = ["面试通过", "已发offer", "已入职"]
 DUPLICATE_FLAG = "重复简历"
@@ -79,13 +76,13 @@ SECTION_HEADINGS = [
     "项目经历", "工作经历", "工作经验", "职业经历", "任职经历",
     "教育经历", "教育背景", "培训经历", "证书", "技能特长",
 ]
-KEY_SECTIONS = ["工作经历", "工作经验", "教育经历", "教育背景", "个人信息", "基本信息"]
-WORK_HEADINGS = ["工作经历", "工作经验", "职业经历", "任职经历", "工作履历"]
-WORK_STOPS = ["教育经历", "教育背景", "项目经历", "自我评价", "技能", "证书"]
 EDUCATION_HEADINGS = ["教育经历", "教育背景", "学历"]
 EDUCATION_STOPS = ["工作经历", "工作经验", "项目经历", "自我评价"]
 
 # --- fixed values: names ----------------------------------------------------
+# words beside which a run of characters is a label, not a name
+NAME_LABEL_STOPS = ["性别", "年龄", "出生", "籍贯", "民族", "岗位", "运营", "意向"]
+CONTACT_WORDS = ["电话", "手机", "邮箱", "email", "联系"]
 NOT_A_NAME = [
     "个人", "个人优势", "自我评价", "项目经历", "基本信息",
     "求职意向", "工作经历", "教育经历", "简历", "信息",

@@ -74,6 +74,8 @@ def test_name_rules_one_by_one(spark):
     assert rules("孙八 13912345678")["before_phone"] == "孙八"
     assert rules("期望城市 13912345678")["before_phone"] is None
     assert rules("个人简历\n周九\nx")["short_line"] is not None
+    assert rules("性别 年龄 出生 ABCDEFGHIJKLMNOP 李雷 和别人")["opening"] == "李雷"
+    assert rules("x" * 20 + " 13812345678 赵六")["around_contact"] == "赵六"
 
 
 def test_education_levels_clear_major(spark):
