@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talentgrid import vocab
-from talentgrid.functions.basics import non_empty
-from talentgrid.operators.listing import str_in_range, ts_in_range
+from talentgrid.functions.basics import any_of, non_empty
+from talentgrid.operators.listing import bounds, str_in_range, ts_in_range
 
 COUNTS = ["resume_count", "interview_count", "pass_count", "offer_count", "onboard_count"]
 
@@ -21,6 +21,10 @@ def _flags(resumes: DataFrame, interviews: DataFrame, start: str | None,
     def num(c: Column) -> Column:
         return F.coalesce(c, F.lit(False)).cast("long")
 
+    if start or end:  # rows outside every range count for nothing; the bounds reach the scans
+        resumes = resumes.filter(ts_in_range(F.col("upload_time"), start, end))
+        within = [bounds(F.col(c), start, end) for c in ("round1_time", "offer_date", "onboard_date")]
+        interviews = interviews.filter(any_of([*within, ts_in_range(F.col("create_time"), start, end)]))
     zero = F.lit(0).cast("long")
     position = F.col("applied_position").alias("position")
     a = resumes.select(

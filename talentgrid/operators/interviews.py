@@ -24,8 +24,8 @@ def _owners(resumes: DataFrame) -> DataFrame:
 
 
 def interview_list(interviews: DataFrame, resumes: DataFrame,
-                   search: str | None = None) -> DataFrame:
-    """Interviews with refreshed name and identity code, newest update first.
+                   search: str | None = None, newest_first: bool = False) -> DataFrame:
+    """Interviews with refreshed name and identity code, on request newest update first.
 
     The search looks at the interview's own name.  A stored code wins; else it
     is built from the résumé, else it is the interview's name.
@@ -44,7 +44,8 @@ def interview_list(interviews: DataFrame, resumes: DataFrame,
     out = joined.withColumns({
         "identity_code": code,
         "name": F.when(owned, F.col("_r_name")).otherwise(F.col("name"))})
-    return out.select(*interviews.columns).orderBy(F.col("update_time").desc(), F.col("id"))
+    out = out.select(*interviews.columns)
+    return out.orderBy(F.col("update_time").desc(), F.col("id")) if newest_first else out
 
 
 def interview_detail(interviews: DataFrame, resumes: DataFrame, interview_id: int) -> DataFrame:

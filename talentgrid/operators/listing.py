@@ -97,6 +97,12 @@ def _day(text: str) -> dt.datetime:
     return dt.datetime.strptime(text, "%Y-%m-%d")
 
 
+def bounds(c: Column, start: str | None, end: str | None) -> Column:
+    """The plain comparisons of a text range, which a scan can use; unknown for NULL."""
+    conds = ([c >= start] if start else []) + ([c <= end] if end else [])
+    return reduce(lambda a, b: a & b, conds)
+
+
 def str_in_range(c: Column, start: str | None, end: str | None) -> Column:
     """Lexicographic range on a date kept as text."""
     conds = [F.lit(True)]

@@ -12,7 +12,7 @@ from talentgrid.functions.text import clean_resume_text, parse_key_values
 from talentgrid.operators import extraction as x
 from talentgrid.operators.maintain import conform, upsert_extracted
 from talentgrid.plans.fixtures import Fixtures
-from talentgrid.plans.recruiting import with_status
+from talentgrid.plans.recruiting import STATUS, with_status
 from talentgrid.plans.registry import AS_OF_YEAR, query
 from talentgrid.sources.documents import outcome_counts, reextract_inputs
 from talentgrid.sources.tables import to_json_rows
@@ -276,11 +276,25 @@ def _(f):
     return f.resumes.select("id", resolve_age(F.lit(None).cast("int"), F.col("birth_year"), AS_OF_YEAR).alias("age"))
 
 
-@query("resume_json")
+def _json_fields(rows: DataFrame, fields: list[str]) -> DataFrame:
+    return rows.select("id", *[F.get_json_object("json", f"$.{f}").alias(f) for f in fields])
+
+
+_RESUME_FIELDS = ["name", "gender", "birth_year", "phone", "email", "highest_education", "school", "major",
+                  "applied_position", "parse_status"]
+_INTERVIEW_FIELDS = ["resume_id", "name", "applied_position", "status", "round1_time", "round1_result", "round2_result",
+                     "round3_result", "offer_issued", "offer_date", "offer_department", "onboard", "onboard_date"]
+
+
+def _as_text(fields: list[str], table: str) -> str:
+    return f"SELECT id, {', '.join(f'cast({f} AS string) AS {f}' for f in fields)} FROM {table}"
+
+
+@query("resume_json", _as_text(_RESUME_FIELDS, "resumes_fx"), ("resumes_fx",))
 def _(f):
-    return to_json_rows(conform(f.resumes, schemas.RESUMES), "resumes")
+    return _json_fields(to_json_rows(conform(f.resumes, schemas.RESUMES), "resumes"), _RESUME_FIELDS)
 
 
-@query("interview_json")
+@query("interview_json", _as_text(_INTERVIEW_FIELDS, f"(SELECT *, {STATUS} AS status FROM interviews_fx) x"), ("interviews_fx",))
 def _(f):
-    return to_json_rows(with_status(f), "interviews")
+    return _json_fields(to_json_rows(with_status(f), "interviews"), _INTERVIEW_FIELDS)

@@ -8,6 +8,7 @@ from talentgrid import vocab
 from talentgrid.functions.basics import blank_to_null, first_match, non_empty, truthy
 from talentgrid.functions.candidate import (
     experience_at, identity_code, json_list, range_label, years_of_service)
+from talentgrid.operators.listing import by_ids
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
@@ -77,18 +78,19 @@ _ROUND_NAMES = (("一面", 1), ("二面", 2), ("三面", 3))
 
 
 def export_interviews(interviews: DataFrame, resumes: DataFrame,
-                      ids: list[int] | None = None) -> DataFrame:
+                      ids: DataFrame | list[int] | None = None, newest_first: bool = False) -> DataFrame:
     """Interview list, 24 columns; the code comes from the résumé only.
 
-    Given ids export only those, otherwise all, newest update first.
+    Given ids (a table of them, or a short list) export only those, otherwise all;
+    on request newest update first, which sorts the whole result.
     """
     iv = interviews
     if ids is not None:
-        iv = iv.filter(F.col("id").isin(ids))
+        iv = by_ids(iv, ids)
     owner = resumes.select(F.col("id").alias("resume_id"), F.col("name").alias("_r_name"),
                            F.col("phone").alias("_r_phone"))
     df = iv.join(owner, "resume_id", "left")
-    if ids is None:
+    if newest_first:
         df = df.orderBy(F.col("update_time").desc(), F.col("id"))
     cols = {"身份验证码": identity_code(F.col("_r_name"), F.col("_r_phone")),
             "姓名": _text(iv, "name"), "应聘岗位": _text(iv, "applied_position"),
