@@ -7,7 +7,6 @@ an Arrow UDF of one line.
 
 from __future__ import annotations
 
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -76,7 +75,7 @@ def clean_document_text(c: Column) -> Column:
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC form."""
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return s.str.normalize("NFKC")
 
 
 def clean_resume_text(c: Column, normalized: bool = False) -> Column:

@@ -6,9 +6,10 @@ import datetime as dt
 from functools import reduce
 from typing import Any, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talentgrid.functions.basics import any_of, non_empty
+from talentgrid.functions.candidate import range_label
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -157,6 +158,19 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(non_empty(F.col(column).cast("string"))).distinct()
 
 
+def top_experiences(experience: DataFrame, n: int = 2, key: str = "resume_id", order: str = "seq") -> DataFrame:
+    """``key, company1, time1, ..., company<n>, time<n>``: the first ``n`` experiences side by side.
+
+    ``row_number() <= n`` is cut per task before the shuffle (window group limit).
+    """
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    top = experience.withColumn("rn", rn).filter(F.col("rn") <= n).withColumn(
+        "time", range_label(F.col("start_year"), F.col("end_year")))
+    return top.groupBy(key).agg(*[
+        F.coalesce(F.max(F.when(F.col("rn") == k, F.col(c))), F.lit("")).alias(f"{c}{k}")
+        for k in range(1, n + 1) for c in ("company", "time")])
+
+
 def keep_selected(selected: DataFrame, page_rows: DataFrame, key: str = "id") -> DataFrame:
     """Selected ids that are on the page."""
     return selected.select(key).join(page_rows.select(key), key, "left_semi").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from talentgrid.functions.candidate import (
     earliest_year, experience_block, file_extension, file_kind, identity_code, json_list,
-    match_level, mime_type, newest_experiences, range_label, rescale_score, resolve_age,
+    match_level, newest_experiences, rescale_score, resolve_age,
     score_bucket, sort_experiences, union_experiences, unwrap_form_value, years_of_service)
 from talentgrid.functions.basics import non_empty, strip_or_null
 from talentgrid.functions.status import interview_status
@@ -519,17 +519,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY seq) AS rn,
   FROM experience_fx) x WHERE rn <= 2 GROUP BY 1
 """, ("experience_fx",))
 def _(f):
-    # row_number() <= 2 is cut per task before the shuffle (window group limit)
-    from pyspark.sql import Window as W
-    rn = F.row_number().over(W.partitionBy("resume_id").orderBy("seq"))
-    top = f.experience.withColumn("rn", rn).filter("rn <= 2").withColumn(
-        "t", range_label(F.col("start_year"), F.col("end_year")))
-
-    def pick(c: str, k: int):
-        return F.coalesce(F.max(F.when(F.col("rn") == k, F.col(c))), F.lit(""))
-    return top.groupBy("resume_id").agg(
-        pick("company", 1).alias("company1"), pick("t", 1).alias("time1"),
-        pick("company", 2).alias("company2"), pick("t", 2).alias("time2"))
+    return ls.top_experiences(f.experience, 2)
 
 
 @query("earliest_year", f"""

@@ -78,7 +78,9 @@ def _docx_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts, errors = [], []
         for path, data in zip(pdf["path"], pdf["content"]):
             text, error = None, None
-            if str(path).lower().endswith(".doc"):
+            if data is None:
+                pass
+            elif str(path).lower().endswith(".doc"):
                 error = "不支持旧的 .doc 格式"
             elif str(path).lower().endswith(".pdf"):
                 error = "不支持 PDF 格式"
@@ -93,16 +95,21 @@ def _docx_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": pdf["path"], "text": texts, "error": errors})
 
 
-def docx_text(files: DataFrame) -> DataFrame:
+def docx_text(files: DataFrame, rejected: str | None = None) -> DataFrame:
     """``path, text, error`` of Word files; failures are rows, never exceptions.
 
+    Files that are not ``accepted`` are left out, or get ``rejected`` as their error.
+
     Unzipping has no built-in, so this is one ``mapInPandas`` over the scan's
     own partitions, in small batches.  PDF and old Word files are reported as unsupported.
     """
+    content = F.col("content")
     if "accepted" in files.columns:
-        files = files.filter("accepted")
-    return files.select("path", "content").mapInPandas(
+        files = files if rejected else files.filter("accepted")
+        content = F.when(F.col("accepted"), content)
+    texts = files.select("path", content.alias("content")).mapInPandas(
         _docx_batch, "path string, text string, error string")
+    return texts.withColumn("error", F.coalesce("error", F.when(F.col("text").isNull(), F.lit(rejected))))
 
 
 def reextract_inputs(resumes: DataFrame, texts: DataFrame) -> DataFrame:

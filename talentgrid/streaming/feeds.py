@@ -45,18 +45,16 @@ def process_files(files: DataFrame, as_of_year: int) -> DataFrame:
     """One row per file with status, message and extracted columns.
 
     Rejected and unreadable files are rows with ``failed``; a bad file never
-    stops the others.
+    stops the others.  Every file is read and decoded once.
     """
     files = files.withColumn("accepted", eligible(F.col("path"), F.col("length")))
-    texts = docx_text(files.filter("accepted"))
-    good = texts.filter(F.col("text").isNotNull())
-    found = extraction.extract_all(good, as_of_year, key="path").withColumns({
-        "parse_status": F.lit("success"), "error_message": F.lit(None).cast("string")})
-    bad = texts.filter(F.col("text").isNull()).select("path", F.col("error").alias("error_message"))
-    rejected = files.filter(~F.col("accepted")).select(
-        "path", F.lit("不支持的文件格式或文件过大").alias("error_message"))
-    failed = bad.unionByName(rejected).withColumn("parse_status", F.lit("failed"))
-    return found.unionByName(failed, allowMissingColumns=True)
+    texts = docx_text(files, rejected="不支持的文件格式或文件过大")
+    texts = texts.withColumn("key", F.struct("path", "error"))
+    found = extraction.extract_all(texts, as_of_year, key="key")
+    ok = F.col("key.error").isNull()
+    return found.select("key.path", *[F.when(ok, F.col(c)).alias(c) for c in found.columns if c != "key"],
+                        F.when(ok, "success").otherwise("failed").alias("parse_status"),
+                        F.col("key.error").alias("error_message"))
 
 
 def ingest_stream(spark: SparkSession, in_path: str, out_path: str, ckpt: str, as_of_year: int,
