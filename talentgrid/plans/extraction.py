@@ -269,6 +269,18 @@ def _(f):
         "id", F.array_join(jobs, "").alias("jobs"))
 
 
+@query("extract_cv", f"""
+SELECT id, name, gender, CASE WHEN id % 6 IN (0, 3, 4) THEN birth_year END AS birth_year,
+ CASE WHEN id % 6 IN (0, 3, 4) THEN {AS_OF_YEAR} - birth_year ELSE cast(age AS int) END AS age,
+ CASE WHEN id % 6 IN (0, 1) THEN phone END AS phone, CASE WHEN id % 6 IN (1, 5) THEN email END AS email,
+ level AS highest_education, school, major, CASE WHEN id % 6 = 4 THEN 0 ELSE n_jobs END AS n_jobs FROM cv_fx
+""", ("cv_fx",))
+def _(f):
+    return x.extract_all(f.table("cv_fx").select("id", "text"), AS_OF_YEAR).select(
+        "id", "name", "gender", "birth_year", "age", "phone", "email", "highest_education", "school", "major",
+        F.size("work_experience").alias("n_jobs"))
+
+
 @query("ages_derived", f"""
 SELECT id, cast(CASE WHEN birth_year IS NOT NULL THEN {AS_OF_YEAR} - birth_year END AS int) AS age FROM resumes_fx""",
        ("resumes_fx",))

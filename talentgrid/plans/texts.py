@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentgrid.functions import contact, education, text as tx
+from talentgrid.plans.fixtures import duckdb_ctes
 from talentgrid.plans.registry import AS_OF_YEAR, query
 
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -232,3 +233,37 @@ def _(f):
             .when(k == 2, n).otherwise(F.concat(n, F.lit("公司的"))))
     return f.table("supplier").select(F.col("s_suppkey").alias("id"),
                                       education.is_company(name).alias("by_suffix"))
+
+
+# ------------------------------------------------ the same on Chinese texts
+_CV = "documents AS (SELECT id AS doc_id, CASE WHEN id % 2 = 0 THEN text || chr(10) || text ELSE text END AS text FROM cv_fx)"
+
+
+def _cv(f):
+    t = F.col("text")
+    twice = F.when(F.col("id") % 2 == 0, F.concat(t, F.lit("\n"), t)).otherwise(t)
+    return f.table("cv_fx").select(F.col("id").alias("doc_id"), twice.alias("text"))
+
+
+@query("text_stats_cjk", f"""WITH {_CV} SELECT doc_id, length(text) AS chars, {cjk_sql('text')} AS cjk_chars, {uniq_sql('text')} AS unique_chars,
+ {cjk_sql('text')} / length(text) AS cjk_ratio FROM documents""", ("cv_fx",))
+def _(f):
+    stats = tx.text_stats(F.col("text"))
+    return _cv(f).select("doc_id", *[c.cast("double" if n == "cjk_ratio" else "long").alias(n) for n, c in stats.items()])
+
+
+@query("accept_text_cjk", f"""WITH {_CV}
+SELECT doc_id, length(t) >= 200 AND {cjk_sql('t')} >= 50 AND {cjk_sql('t')} >= length(t) * 0.1 AND {uniq_sql('t')} >= 50 AS accepted
+FROM (SELECT doc_id, {strip_sql('text')} AS t FROM documents) x""", ("cv_fx",))
+def _(f):
+    return _cv(f).select("doc_id", tx.accept_text(F.col("text")).alias("accepted"))
+
+
+@query("line_repair_cjk", duckdb_ctes("cv_fx").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_CV}, " + _REPAIR.strip().removeprefix("WITH RECURSIVE "))
+def _(f):
+    return _cv(f).select("doc_id", tx.repair_line_breaks("text").alias("text"))
+
+
+@query("clean_document_text_cjk", f"WITH {_CV} SELECT doc_id, {clean_sql('text')} AS text FROM documents", ("cv_fx",))
+def _(f):
+    return _cv(f).select("doc_id", tx.clean_document_text(F.col("text")).alias("text"))
