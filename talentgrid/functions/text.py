@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from talentgrid import vocab
-from talentgrid.functions.basics import CJK, alternation, strip_ws
+from talentgrid.functions.basics import CJK, alternation, let, strip_ws
 
 # --- fixed values: characters ------------------------------------------------
 UNREADABLE = r"[□¡¿\u200b\u200c\u200d\ufeff]"
@@ -107,10 +107,11 @@ def clean_resume_text(c: Column, normalized: bool = False) -> Column:
 
 
 def repair_line_breaks(column: str) -> Column:
-    """Joins lines that a page layout broke, as one fold over the lines.
+    """Joins lines that a page layout broke: a fold over the lines, then one pass that builds the text.
 
     Whether a line joins the buffer depends on the buffer's last character, its
-    length and its number of CJK characters, so the fold carries just those.
+    length and its number of CJK characters, so the fold carries just those and
+    one letter per line: N begins a line, J joins the one before, - is blank.
     """
     last = ("CASE WHEN l RLIKE '[。！？；.!?;]$' THEN 'S' WHEN l RLIKE '[：，、:,-]$' THEN 'P' "
             "WHEN l RLIKE '[0-9a-zA-Z]$' THEN 'A' WHEN l RLIKE '[一-龥]$' THEN 'C' ELSE 'O' END")
@@ -121,20 +122,17 @@ def repair_line_breaks(column: str) -> Column:
              f"named_struct('l', l, 'first', {first}, 'last', {last}, 'n', length(l), "
              f"'cjk', {cjk}))[0])")
     joins = "((a.last = 'A' AND x.first = 'A') OR (a.last = 'C' AND x.first = 'C' AND a.n < 20))"
-    # buffer after the line is taken in, then flushed when it reads as complete
-    flushed = "if(a.n > 0, array_append(a.done, a.buf), a.done)"
-    taken = (f"if(a.n > 0 AND {joins}, "
-             "named_struct('done', a.done, 'buf', a.buf || x.l, 'n', a.n + x.n, 'cjk', a.cjk + x.cjk), "
-             f"named_struct('done', {flushed}, 'buf', x.l, 'n', x.n, 'cjk', x.cjk))")
     complete = "(x.last = 'S' OR (t.n > 50 AND t.cjk > 10))"
-    empty = "'buf', '', 'n', 0, 'cjk', 0, 'last', ''"
-    step = (f"if(x.n = 0, named_struct('done', {flushed}, {empty}), "
-            f"transform(array({taken}), t -> if({complete}, "
-            f"named_struct('done', array_append(t.done, t.buf), {empty}), "
-            "named_struct('done', t.done, 'buf', t.buf, 'n', t.n, 'cjk', t.cjk, 'last', x.last)))[0])")
-    start = f"named_struct('done', cast(array() AS array<string>), {empty})"
-    return F.expr(f"aggregate({lines}, {start}, (a, x) -> {step}, "
-                  f"a -> array_join({flushed}, '\\n'))")
+    empty = "'n', 0, 'cjk', 0, 'last', ''"
+    taken = (f"if(a.n > 0 AND {joins}, "
+             "named_struct('marks', a.marks || 'J', 'n', a.n + x.n, 'cjk', a.cjk + x.cjk), "
+             "named_struct('marks', a.marks || 'N', 'n', x.n, 'cjk', x.cjk))")
+    step = (f"if(x.n = 0, named_struct('marks', a.marks || '-', {empty}), "
+            f"transform(array({taken}), t -> if({complete}, named_struct('marks', t.marks, {empty}), "
+            "named_struct('marks', t.marks, 'n', t.n, 'cjk', t.cjk, 'last', x.last)))[0])")
+    marks = f"split(aggregate(ls, named_struct('marks', '', {empty}), (a, x) -> {step}, a -> a.marks), '')"
+    pieces = (f"zip_with(ls, {marks}, (x, m) -> CASE m WHEN 'J' THEN x.l WHEN 'N' THEN '\\n' || x.l ELSE '' END)")
+    return F.expr(f"transform(array({lines}), ls -> substring(array_join({pieces}, ''), 2))[0]")
 
 
 def chunk_text(df: DataFrame, key: str, text: str, size: int = 12000) -> DataFrame:
@@ -185,18 +183,28 @@ def extraction_score(c: Column, diagnostic: bool = False) -> Column:
     return F.when(cjk < n * F.lit(0.05), score * 0.5).otherwise(score)
 
 
+def _extraction_rank(text: Column, method_no: Column, diagnostic: bool) -> Column:
+    ok = (strip_ws(text) != "") & (F.length(text) >= 50)
+    return F.struct(F.coalesce(ok, F.lit(False)).alias("ok"),
+                    F.when(ok, extraction_score(text, diagnostic)).otherwise(0.0).alias("s"), (-method_no).alias("m"))
+
+
+def best_form(forms: Column, diagnostic: bool = False) -> Column:
+    """Struct ``method, text``: the best of an array of ``method_no, method, text``, in its row."""
+    ranked = F.transform(forms, lambda f: F.struct(
+        _extraction_rank(f.text, f.method_no, diagnostic).alias("rank"), f.method.alias("method"), f.text.alias("text")))
+    return let(F.array_max(ranked), lambda b: F.struct(b.method.alias("method"), b.text.alias("text")))
+
+
 def best_extraction(candidates: DataFrame, key: str = "doc_id",
                     diagnostic: bool = False) -> DataFrame:
     """``key, method, text``: the best of ``candidates(key, method_no, method, text)``.
 
     Blank texts and those under 50 characters do not qualify; on equal scores
     the earlier method wins; if nothing qualifies the first result is returned.
-    One aggregate with map-side partials picks it.
+    The aggregate carries numbers only; the winner's text is joined to them.  Forms
+    that stand in one row need neither: see ``best_form``.
     """
-    ok = (strip_ws(F.col("text")) != "") & (F.length("text") >= 50)
-    rank = F.struct(F.coalesce(ok, F.lit(False)).alias("ok"),
-                    F.when(ok, extraction_score(F.col("text"), diagnostic)).otherwise(0.0).alias("s"),
-                    (-F.col("method_no")).alias("m"))
-    best = candidates.groupBy(key).agg(
-        F.max_by(F.struct("method", "text"), rank).alias("b"))
-    return best.select(key, "b.method", "b.text")
+    rank = _extraction_rank(F.col("text"), F.col("method_no"), diagnostic)
+    best = candidates.groupBy(key).agg(F.max(rank).alias("r")).select(key, (-F.col("r.m")).alias("method_no"))
+    return candidates.join(best, [key, "method_no"]).select(key, "method", "text")

@@ -128,7 +128,19 @@ def _(f):
         F.struct(F.lit(2).alias("method_no"), F.lit("plain").alias("method"), F.col("text")),
         F.struct(F.lit(3).alias("method_no"), F.lit("lower").alias("method"),
                  F.lower("text").alias("text")))
-    return tx.best_extraction(d.select("doc_id", F.inline(forms)))
+    return d.select("doc_id", tx.best_form(forms).alias("b")).select("doc_id", "b.method", "b.text")
+
+
+@query("best_extraction_long", f"""
+WITH c AS (SELECT doc_id, 1 AS method_no, 'marked' AS method, replace(text, 'e', 'E') AS text FROM documents WHERE doc_id % 3 <> 0
+ UNION ALL SELECT doc_id, 2, 'plain', text FROM documents)
+SELECT doc_id, method, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ok DESC, CASE WHEN ok THEN sc ELSE 0 END DESC, method_no) AS rn
+ FROM (SELECT *, {strip_sql('text')} <> '' AND length(text) >= 50 AS ok, {score_sql('text')} AS sc FROM c) a) b WHERE rn = 1
+""")
+def _(f):
+    d = f.documents
+    marked = d.filter("doc_id % 3 <> 0").select("doc_id", F.lit(1).alias("method_no"), F.lit("marked").alias("method"), F.replace(F.col("text"), F.lit("e"), F.lit("E")).alias("text"))
+    return tx.best_extraction(marked.union(d.select("doc_id", F.lit(2), F.lit("plain"), "text")))
 
 
 @query("emails", f"""
