@@ -31,6 +31,9 @@ from talentgrid.llm.pieces import PieceEncoder
 # Fixed value: the split pattern of byte-level tokenizers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
+#: What a task keeps: pieces of text, words, and pairs found compatible or not; beyond it each starts afresh. Python workers
+#: outlive their tasks and sit beside those of other stages, so a task forgets them at its end.
+MAX_PIECES, MAX_WORDS, MAX_PAIRS = 500_000, 200_000, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,16 +43,44 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_bytes(spec: dict) -> tuple[dict[int, str], dict[str, int], int]:
+    """Each ordinary token's bytes as latin-1 letters, the special tokens, and the number of ids."""
+    vocab, letters = spec["model"]["vocab"], byte_letters()
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    text = {i: bytes(letters[c] for c in t).decode("latin-1") for t, i in vocab.items() if t not in special}
+    return text, special, max([*vocab.values(), *special.values()]) + 1
+
+
+class Decoder:
+    """The offset table of a tokenizer file: all tokens' bytes, and where each token's begin."""
+
+    def __init__(self, tokenizer_json: str):
+        text, special, top = token_bytes(json.loads(tokenizer_json))
+        raw = [text[i].encode("latin-1") if i in text else b"" for i in range(top)]
+        for content, i in special.items():
+            raw[i] = content.encode()
+        self.sizes = np.array([len(x) for x in raw])
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The text's UTF-8 bytes: every id's bytes gathered from the table at once."""
+        ids = np.frombuffer(ids, "<u4")
+        size = self.sizes[ids]
+        ends = np.cumsum(size)
+        if not len(ends):
+            return b""
+        at = np.arange(ends[-1]) + np.repeat(self.offsets[ids] - (ends - size), size)
+        return self.bytes[at].tobytes()
+
+
 class Codec:
-    """Encoder and decoder of a byte-level BPE tokenizer file (the tokenizers library's JSON)."""
+    """Encoder of a byte-level BPE tokenizer file (the tokenizers library's JSON)."""
 
     def __init__(self, tokenizer_json: str):
         spec = json.loads(tokenizer_json)
-        vocab, letters = spec["model"]["vocab"], byte_letters()
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        as_bytes = {t: i for t, i in vocab.items() if t not in self.special}
-        text = {i: bytes(letters[c] for c in t).decode("latin-1") for t, i in as_bytes.items()}
-        top = max([*vocab.values(), *self.special.values()]) + 1
+        vocab = spec["model"]["vocab"]
+        text, self.special, top = token_bytes(spec)
         self.length = [len(text.get(i, "")) for i in range(top)]
         self.rank, self.parts, self.merge = [-1] * top, [None] * top, {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -65,17 +96,11 @@ class Codec:
             self.tokens.add_word(t, i)
             self.shorter[i] = next((own[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in own), -1)
         self.tokens.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.words = regex.compile(WORDS)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        raw = [text[i].encode("latin-1") if i in text else b"" for i in range(top)]
-        for content, i in self.special.items():
-            raw[i] = content.encode()
-        self.sizes = np.array([len(x) for x in raw])
-        self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
-        self.encode = PieceEncoder(lambda strings: map(self._encode_string, strings), self.special)
+        self.encode = PieceEncoder(lambda strings: map(self._encode_string, strings), self.special, max_pieces=MAX_PIECES)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether ``b`` may follow ``a``."""
@@ -112,9 +137,10 @@ class Codec:
             end = at + length[token]
             good = end not in dead
             if good and out:
-                good = fits.get((out[-1], token))
+                pair = out[-1] << 32 | token
+                good = fits.get(pair)
                 if good is None:
-                    good = fits[out[-1], token] = self.compatible(out[-1], token)
+                    good = fits[pair] = self.compatible(out[-1], token)
             if good:
                 out.append(token)
                 if end == n:
@@ -142,44 +168,41 @@ class Codec:
                     if len(word) <= 64:
                         self.known[word] = ids
                 out.append(ids)
-        if len(self.known) > 1_000_000:
+        if len(self.known) > MAX_WORDS:
             self.known.clear()
-        if len(self.fits) > 4_000_000:
+        if len(self.fits) > MAX_PAIRS:
             self.fits.clear()
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        """The text's UTF-8 bytes: every id's bytes gathered from the table at once."""
-        ids = np.frombuffer(ids, "<u4")
-        size = self.sizes[ids]
-        ends = np.cumsum(size)
-        if not len(ends):
-            return b""
-        at = np.arange(ends[-1]) + np.repeat(self.offsets[ids] - (ends - size), size)
-        return self.bytes[at].tobytes()
+    def forget(self) -> None:
+        self.encode.forget()
+        self.known.clear()
+        self.fits.clear()
 
 
-_codecs: dict[int, Codec] = {}
+_made: dict = {}
 
 
-def worker_codec(tokenizer_json: str) -> Codec:
-    key = hash(tokenizer_json)
-    if key not in _codecs:
-        _codecs[key] = Codec(tokenizer_json)
-    return _codecs[key]
+def worker_made(kind: type, tokenizer_json: str):
+    """One Codec or Decoder for each Python worker and tokenizer."""
+    key = (kind, hash(tokenizer_json))
+    if key not in _made:
+        _made[key] = kind(tokenizer_json)
+    return _made[key]
 
 
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast) -> Iterator[pa.RecordBatch]:
-    encode = worker_codec(tokenizer.value).encode
+    codec = worker_made(Codec, tokenizer.value)
     for batch in batches:
         for at in range(0, len(batch), 256):
             rows = batch.slice(at, 256)
-            ids = encode([x or "" for x in rows.column(1).to_pylist()])
+            ids = codec.encode([x or "" for x in rows.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
+    codec.forget()
 
 
 def _decode(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast) -> Iterator[pa.RecordBatch]:
-    decode = worker_codec(tokenizer.value).decode
+    decode = worker_made(Decoder, tokenizer.value).decode
     for batch in batches:
         for at in range(0, len(batch), 256):
             rows = batch.slice(at, 256)
@@ -187,6 +210,10 @@ def _decode(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast) -> Iterator
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(text, pa.string())], ["id", "ids", "text"])
 
 
+def _round_trip(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast) -> Iterator[pa.RecordBatch]:
+    return _decode(_encode(batches, tokenizer), tokenizer)
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
     """(id_col, ids): ids as little-endian unsigned 32-bit integers, one after another, one row for each row of ``docs``.
 
@@ -203,3 +230,10 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", tokenizer_path:
     tokenizer = encoded.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
     return rows.mapInArrow(partial(_decode, tokenizer=tokenizer), "id long, ids binary, text string").withColumnRenamed("id", id_col)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None) -> DataFrame:
+    """``decode_documents(encode_documents(docs))`` in one Python worker a task: the ids are not sent out and in again."""
+    tokenizer = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(partial(_round_trip, tokenizer=tokenizer), "id long, ids binary, text string").withColumnRenamed("id", id_col)

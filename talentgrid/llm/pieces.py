@@ -14,8 +14,8 @@ import numpy as np
 #: Python's \s holds every Unicode white space, so a cut here is one for the tokenizer too.
 _IRREGULAR = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
-#: Pieces kept by one Python worker; beyond it the store starts afresh.
-MAX_PIECES = 2_000_000
+#: Pieces kept by one Python worker; beyond it the store starts afresh. Workers outlive their tasks, so it counts as memory.
+MAX_PIECES = 1_000_000
 
 
 class PieceEncoder:
@@ -25,15 +25,19 @@ class PieceEncoder:
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], special: Iterable[str],
-                 encode_spaced: Callable[[list[str]], Iterable[bytes]] | None = None):
+                 encode_spaced: Callable[[list[str]], Iterable[bytes]] | None = None, max_pieces: int = MAX_PIECES):
         self._encode, self._special, self._encode_spaced = encode, tuple(special), encode_spaced or encode
+        self._max = max_pieces
         self._heads: dict[str, bytes] = {}
         self._spaced: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self._heads.clear()
+        self._spaced.clear()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._heads) + len(self._spaced) > MAX_PIECES:
-            self._heads.clear()
-            self._spaced.clear()
+        if len(self._heads) + len(self._spaced) > self._max:
+            self.forget()
         whole = {i: next(iter(self._encode([t]))) for i, t in enumerate(texts) if any(s in t for s in self._special)}
         parts = [[""] if i in whole else _CUT.split(t) if _IRREGULAR.search(t) else t.split(" ") for i, t in enumerate(texts)]
         heads = [p[0] for p in parts]
