@@ -22,11 +22,11 @@ def texts(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     texts = {r.doc_id: r.text for r in rows if len(r.text) < 4000}
     base = [texts[i] for i in sorted(texts)[:60]]
-    for n in range(180):  # copies of one text, and of many, with few and with more edits
-        texts[1000 + n] = edited(base[n % 60] if n % 3 else base[0], 1 + n % 6, n)
+    for n in range(90):  # copies of one text, and of many, with few and with more edits
+        texts[1000 + n] = edited(base[n % 30] if n % 3 else base[0], 1 + n % 6, n)
     shared = " ".join(f"common{i}" for i in range(60))
-    for n in range(60):  # one passage in texts of all sizes: mostly it, or little of it
-        texts[2000 + n] = shared + " " + " ".join(f"own{n}x{i}" for i in range(2 + n))
+    for n in range(30):  # one passage in texts of all sizes: mostly it, or little of it
+        texts[2000 + n] = shared + " " + " ".join(f"own{n}x{i}" for i in range(2 + 2 * n))
     return texts
 
 

@@ -29,11 +29,11 @@ def strings(n):
 
 
 def test_codec_and_pieces_are_the_librarys(library):
-    codec, pieces = bpe.Codec(tokenizer_text()), library_encoder(tokenizer_text())
+    codec, decoder, pieces = bpe.Codec(tokenizer_text()), bpe.Decoder(tokenizer_text()), library_encoder(tokenizer_text())
     texts = strings(3000) + [t for t in TEXTS if t] + ["the" * 3000, "a" * 2999, "x" + " " * 4000 + "y"]
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [ids(x) for x in codec.encode(texts)] == want and [ids(x) for x in pieces(texts)] == want
-    assert [codec.decode(x).decode() for x in codec.encode(texts)] == [library.decode(x, skip_special_tokens=False) for x in want]
+    assert [decoder.decode(x).decode() for x in codec.encode(texts)] == [library.decode(x, skip_special_tokens=False) for x in want]
 
 
 def test_compatible_pairs_are_what_encoding_gives(library):
@@ -52,6 +52,7 @@ def test_documents_round_trip(docs_of, library):
     got = bpe.decode_documents(bpe.encode_documents(docs_of(rows))).collect()
     want = [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows]
     assert sorted(((r.doc_id, ids(r.ids), r.text) for r in got), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, bpe.round_trip(docs_of(rows)).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert bpe.encode_documents(docs_of([]).limit(0)).count() == 0
 
 
