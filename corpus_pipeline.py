@@ -50,7 +50,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 of its encoding and the text decoded from it."""
     ship_package(spark)
-    return bpe.decode_documents(bpe.encode_documents(docs)).select(
+    return bpe.round_trip(docs).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
