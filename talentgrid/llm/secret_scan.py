@@ -44,7 +44,7 @@ class SecretScanner:
         self.before = re.compile("(?:" + "|".join(map(re.escape, sensitive)) + ")", re.IGNORECASE | re.ASCII)
         self.run = re.compile(rf"[A-Za-z0-9+/_=-]{{{least},}}")
         self.shared = " ".join(identifiers)
-        self.context, self.around, self.novelty = context, around, novelty
+        self.context, self.around, self.least, self.novelty = context, around, least, novelty
 
     def base(self, text: str, lowered: str) -> list[tuple[int, int, str]]:
         """Spans (start, end, kind) of the base patterns: leftmost, not overlapping within a kind, in code points."""
@@ -67,9 +67,9 @@ class SecretScanner:
         taken = sorted(x[:2] for x in known)
         found, done = [], -1
         for word in self.before.finditer(text):
-            for m in self.run.finditer(text, max(word.end(), done)):
-                if m.start() - word.end() > self.context:
-                    break
+            reach = word.end() + self.context + self.least  # what begins in reach shows its least length there
+            while m := self.run.search(text, max(word.end(), done), reach):
+                m = self.run.match(text, m.start())
                 done, s = m.end(), m[0]
                 at = bisect_left(taken, (m.end(),))
                 if any(a < m.end() and m.start() < b for a, b in taken[max(0, at - 3) : at]):
