@@ -32,7 +32,7 @@ from talentgrid.llm.pieces import PieceEncoder
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
 #: What a task keeps: pieces of text, words, and pairs found compatible or not; beyond it each starts afresh. Python workers
-#: outlive their tasks and sit beside those of other stages, so a task forgets them at its end.
+#: outlive their tasks and sit beside those of other stages, so a task makes its own codec and leaves nothing.
 MAX_PIECES, MAX_WORDS, MAX_PAIRS = 500_000, 200_000, 400_000
 
 
@@ -174,35 +174,18 @@ class Codec:
             self.fits.clear()
         return b"".join(out)
 
-    def forget(self) -> None:
-        self.encode.forget()
-        self.known.clear()
-        self.fits.clear()
-
-
-_made: dict = {}
-
-
-def worker_made(kind: type, tokenizer_json: str):
-    """One Codec or Decoder for each Python worker and tokenizer."""
-    key = (kind, hash(tokenizer_json))
-    if key not in _made:
-        _made[key] = kind(tokenizer_json)
-    return _made[key]
-
-
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast) -> Iterator[pa.RecordBatch]:
-    codec = worker_made(Codec, tokenizer.value)
+    codec = Codec(tokenizer.value)
     for batch in batches:
         for at in range(0, len(batch), 256):
             rows = batch.slice(at, 256)
             ids = codec.encode([x or "" for x in rows.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
-    codec.forget()
+    codec.encode = None  # else the two keep each other alive until the next garbage collection
 
 
 def _decode(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast) -> Iterator[pa.RecordBatch]:
-    decode = worker_made(Decoder, tokenizer.value).decode
+    decode = Decoder(tokenizer.value).decode
     for batch in batches:
         for at in range(0, len(batch), 256):
             rows = batch.slice(at, 256)

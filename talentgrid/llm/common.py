@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step takes at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
+BATCH_ROWS = 1000
 #: Words are runs of digits, ASCII letters (lower-cased) and bytes of non-ASCII characters; 0 separates.
 _WORD = np.zeros(256, np.uint8)
 _WORD[np.r_[48:58, 97:123, 128:256]] = np.r_[48:58, 97:123, 128:256]
@@ -27,7 +28,13 @@ _scratch: dict[str, str] = {}  # of local sessions, by application
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers of every executor, once for each application."""
+    """Send this package to the Python workers of every executor, once for each application.
+
+    Rows that hold whole texts go to them by at most BATCH_ROWS: Spark's 10,000 may be hundreds of MB on either side.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if spark.sparkContext.applicationId not in _shipped:
         import shutil
         root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
