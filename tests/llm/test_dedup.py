@@ -85,3 +85,28 @@ def test_repeated_passages_edge_cases(docs_of):
     got = {(r.doc_id, r.begin, r.end) for r in repeated_passages(docs_of(rows)).collect()}
     assert {(1, 1, 61), (2, 0, 60)} <= got and {g[0] for g in got} <= {1, 2, 6}
     assert repeated_passages(docs_of([]).limit(0)).count() == 0
+
+
+def test_repeated_passages_beside_a_first_document_with_a_part(docs_of):
+    own = lambda n, x: " ".join(f"{x}{i}" for i in range(n))
+    rows, want = [], set()
+    for n in range(40):  # documents 3n to 3n + 2: a part of 45 words, then twice the whole of 51
+        p = [f"p{n}x{i}" for i in range(51)]
+        part = p[:45] if n % 2 else p[6:]
+        for k, middle in enumerate((part, p, p)):
+            before = 5 + k
+            rows.append((3 * n + k, " ".join([own(before, f"a{n}k{k}x"), *middle, own(9, f"b{n}k{k}x")])))
+            if k:
+                want.add((3 * n + k, before, before + 51, 3 * n + 3 - k))
+    got = {(r.doc_id, r.begin, r.end, r.other) for r in repeated_passages(docs_of(rows), threshold=1.1).collect()}
+    assert got == want
+
+
+def test_repeated_passages_in_a_first_document_with_the_context_twice(docs_of):
+    rows = []
+    for n in range(20):
+        p = [f"p{n}x{i}" for i in range(60)]
+        own = lambda x: [f"{x}{n}x{i}" for i in range(60)]  # noqa: E731, B023
+        rows += [(2 * n, " ".join([*own("a"), *p[12:48], *own("b"), *p, *own("c")])), (2 * n + 1, " ".join([*own("d"), *p, *own("e")]))]
+    got = {(r.doc_id, r.begin, r.end) for r in repeated_passages(docs_of(rows), threshold=1.1).collect()}
+    assert got == {x for n in range(20) for x in ((2 * n, 156, 216), (2 * n + 1, 60, 120))}
