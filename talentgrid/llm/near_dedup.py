@@ -17,7 +17,8 @@ its many copies that is the text). Members that their hub is no partner of, such
 open: with all the other members of their buckets they go on to an exact prefix filter. K-mers are ordered by rarity among
 those texts, and two similar enough texts must share one of their n - ceil(t n) + 1 rarest. Where such a k-mer stands in
 that order bounds what two texts can still share, so a text leaves a bucket whose shortest text is too long for it; what
-stays is compared with hubs, the shortest texts first and ever more of them, until no text is open.
+stays is compared with hubs, the shortest texts first and ever more of them, but not with texts that links found so far have
+brought into the same component, until all that is left of a bucket is in one component or was open nowhere.
 """
 
 from __future__ import annotations
@@ -170,14 +171,14 @@ def _able(threshold: float, n: Column, m: Column, r: Column, q: Column) -> Colum
 
 
 def _paired(rows: DataFrame, small: int, hubs: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of buckets (key, id, weight, n, r, open): candidate pairs (a, b), one of them open; the members of the large buckets
-    without their hubs; and (key, id, hub) of the members and hubs paired."""
+    """Of buckets (key, id, weight, n, r, open, part): candidate pairs (a, b) of two parts, one of them open; the members of
+    the large buckets without their hubs; and (key, id, hub) of the members and hubs paired."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = rows.join(sizes, "key")
     few = rows.filter(F.col("size") <= small)
     large = rows.filter(F.col("size") > small).drop("size")
-    named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "r", "open")])
-    able = lambda x, y: (F.col(f"open_{x}") | F.col(f"open_{y}")) & _able(
+    named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "r", "open", "part")])
+    able = lambda x, y: (F.col(f"open_{x}") | F.col(f"open_{y}")) & (F.col(f"part_{x}") != F.col(f"part_{y}")) & _able(
         threshold, F.col(f"n_{x}"), F.col(f"n_{y}"), F.col(f"r_{x}"), F.col(f"r_{y}"))
     near = named(few, "a").join(named(few, "b"), "key").filter("id_a < id_b").filter(able("a", "b"))
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id"))
@@ -192,7 +193,7 @@ def _paired(rows: DataFrame, small: int, hubs: int, threshold: float) -> tuple[D
 def _rare(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """(key, id, weight, n, r): the rarest k-mers of each text, enough for any two similar ones to share one; r counts the
     k-mers from this one on. Rows that can have no partner in their bucket are left out."""
-    every = stored(texts.mapInArrow(partial(_kmers, k=k), "id long, n long, kmers array<long>"), "kmers").select(
+    every = stored(texts.dropDuplicates(["id", "text"]).mapInArrow(partial(_kmers, k=k), "id long, n long, kmers array<long>"), "kmers").select(
         "id", "n", F.explode("kmers").alias("key"))
     common = every.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("texts", F.lit(1)), "key"))
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = stored(keys.join(shared, "key"), "shared-sketches")
     rows = rows.drop("size").join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id").withColumns(
-        {"r": F.col("n"), "open": F.lit(True)})
+        {"r": F.col("n"), "open": F.lit(True), "part": F.col("id")})
     links, tried, hubs, exact = [], [], 1, False
     while True:
         pairs, members, far = _paired(rows, small, hubs, threshold)
@@ -232,18 +233,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = stored(pairs, "pairs")
         links.append(stored(aligned_pairs(pairs, texts, k, threshold), "links"))
         tried.append(pairs)
-        known_links = reduce(DataFrame.union, links).select(F.col("a").alias("id"), F.col("b").alias("hub"))
-        known_links = known_links.union(known_links.select("hub", "id"))
-        taken = far.join(known_links, ["id", "hub"]).select("key", "id", F.lit(True).alias("taken")).distinct()
-        members = members.join(taken, ["key", "id"], "left").withColumn("open", F.col("open") & F.col("taken").isNull()).drop("taken")
-        members = stored(members.join(members.filter("open").select("key").distinct(), "key", "left_semi"), "left-over")
+        if not exact:
+            known_links = links[0].select(F.col("a").alias("id"), F.col("b").alias("hub"))
+            known_links = known_links.union(known_links.select("hub", "id"))
+            taken = far.join(known_links, ["id", "hub"]).select("key", "id", F.lit(True).alias("taken")).distinct()
+            members = members.join(taken, ["key", "id"], "left").withColumn("open", F.col("taken").isNull()).drop("taken")
+            members = stored(members.join(members.filter("open").select("key").distinct(), "key", "left_semi"), "left-over")
+        else:
+            members = stored(members, "left-over")
         if members.isEmpty():
             break
+        label = components(reduce(DataFrame.union, links).select("a", "b"))
+        parts = lambda df: df.drop("part").join(label, F.col("id") == F.col("node"), "left").withColumn(
+            "part", F.coalesce("component", "id")).drop("node", "component")
         if exact:
-            rows = members
+            members = stored(parts(members), "left-over")
         else:
             some = stored(members.groupBy("id").agg(F.max("open").alias("open")), "left-over-texts")
-            rows = stored(_rare(_texts_of(texts, some.select("id")), k, threshold).join(some, "id"), "left-over")
+            members = stored(parts(_rare(_texts_of(texts, some.select("id")), k, threshold).join(some, "id")), "left-over")
+        mixed = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("open").alias("any")).filter(
+            "p < q AND any").select("key")
+        rows = stored(members.join(mixed, "key", "left_semi"), "left-over")
+        if rows.isEmpty():
+            break
         hubs, exact = hubs * 8, True
     label = components(reduce(DataFrame.union, links).select("a", "b"))
     classes = first.join(label, F.col("rep") == F.col("node"), "left").select(

@@ -110,3 +110,16 @@ def test_repeated_passages_in_a_first_document_with_the_context_twice(docs_of):
         rows += [(2 * n, " ".join([*own("a"), *p[12:48], *own("b"), *p, *own("c")])), (2 * n + 1, " ".join([*own("d"), *p, *own("e")]))]
     got = {(r.doc_id, r.begin, r.end) for r in repeated_passages(docs_of(rows), threshold=1.1).collect()}
     assert got == {x for n in range(20) for x in ((2 * n, 156, 216), (2 * n + 1, 60, 120))}
+
+
+def test_near_duplicates_in_chains_of_revisions(spark):
+    rng, w, chain = random.Random(11), [f"w{i}" for i in range(160)], []
+    for n in range(200):  # a shared passage; each revision changes a word of the rest
+        chain.append(" ".join([f"s{i}" for i in range(60)] + w))
+        w[rng.randrange(len(w))] = f"r{n}"
+    ids = list(range(200))
+    rng.shuffle(ids)
+    texts = dict(zip(ids, chain))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_duplicates(df.union(df.limit(50)), small=2).collect()}
+    assert got == plain.near_classes(texts)
