@@ -7,7 +7,9 @@ A half is passed over if, for a query at distance d from the vantage point and w
 
     max(d - greatest, least - d, 0) > factor * r
 
-Factor one is the triangle inequality itself, so the search is exact; less prunes more. Scores are inner products in double
+Factor one is the triangle inequality itself, so the search is exact; less prunes more. Squared lengths are off by rounding,
+so every distance in the test is widened by that much of its square. A node of equal vectors is not parted: all have the same
+score, and the smallest rows are taken. Scores are inner products in double
 precision of the vectors as given. Queries are dealt into blocks; each block meets each shard once.
 """
 
@@ -33,9 +35,11 @@ class VantageTree:
         self.vectors = vectors
         size = np.einsum("ij,ij->i", vectors, vectors)
         self.longest = size.max()
+        self.rounding = 8 * (vectors.shape[1] + 8) * np.finfo(float).eps * self.longest  # of squared lengths
         self.lifted = np.hstack([vectors, np.sqrt(self.longest - size)[:, None]])
         self.order = np.arange(len(vectors))
         self.nodes: list[tuple] = []  # (begin, end, vantage, near child, far child, bounds of both)
+        self.equal: set[int] = set()  # leaves of more than ``leaf`` equal vectors
         self.rng = np.random.default_rng(seed)
         self._build(0, len(vectors), leaf)
 
@@ -44,6 +48,10 @@ class VantageTree:
         self.nodes.append((begin, end, -1, -1, -1, None))
         if end - begin > leaf:
             rows = self.order[begin:end]
+            if (self.vectors[rows[-1]] == self.vectors[rows[0]]).all() and (self.vectors[rows] == self.vectors[rows[0]]).all():
+                self.equal.add(at)
+                self.order[begin:end] = np.sort(rows)
+                return at
             vantage = int(rows[self.rng.integers(len(rows))])
             d = np.linalg.norm(self.lifted[rows] - self.lifted[vantage], axis=1)
             half = len(rows) // 2
@@ -65,20 +73,24 @@ class VantageTree:
         reach = np.full(n, np.inf)
         scale = np.sqrt(self.longest) / length[:, 0]
 
-        def visit(leaf: tuple, who: np.ndarray) -> None:
-            rows = np.sort(self.order[leaf[0] : leaf[1]])
+        def visit(at: int, who: np.ndarray) -> None:
+            begin, end = self.nodes[at][:2]
+            rows = self.order[begin : begin + k] if at in self.equal and end - begin > k else np.sort(self.order[begin:end])
             score = np.einsum("qd,nd->qn", queries[who], self.vectors[rows])  # the same for equal vectors, wherever they lie
             score = np.hstack([best[who], score])
             names = np.hstack([row[who], np.broadcast_to(rows, (len(who), len(rows)))])
             top = np.lexsort((names, -score), axis=1)[:, :k]  # of equal scores the smaller row
             best[who], row[who] = np.take_along_axis(score, top, 1), np.take_along_axis(names, top, 1)
             with np.errstate(invalid="ignore"):
-                reach[who] = np.sqrt(np.maximum(0, 2 * self.longest - 2 * best[who, -1] * scale[who]))
+                reach[who] = np.sqrt(np.maximum(0, 2 * self.longest - 2 * best[who, -1] * scale[who]) + self.rounding)
 
         def away(node: tuple, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             d = np.linalg.norm(placed[who] - self.lifted[node[2]], axis=1)
             a, b, c, e = node[5]
-            return np.maximum(0, np.maximum(d - b, a - d)), np.maximum(0, np.maximum(d - e, c - d))
+            more = lambda x: np.sqrt(x * x + self.rounding)
+            less = lambda x: np.sqrt(np.maximum(0, x * x - self.rounding))
+            return (np.maximum(0, np.maximum(less(d) - more(b), less(a) - more(d))),
+                    np.maximum(0, np.maximum(less(d) - more(e), less(c) - more(d))))
 
         first = np.zeros(n, int)  # each query's own leaf first: the bound is tight from then on
         todo = [(0, np.arange(n))]
@@ -87,7 +99,7 @@ class VantageTree:
             node = self.nodes[at]
             if node[2] < 0:
                 first[who] = at
-                visit(node, who)
+                visit(at, who)
                 continue
             near, far = away(node, who)
             inside = near <= far
@@ -100,7 +112,7 @@ class VantageTree:
             if node[2] < 0:
                 who = who[first[who] != at]
                 if len(who):
-                    visit(node, who)
+                    visit(at, who)
             elif len(who):
                 near, far = away(node, who)
                 todo += [(node[3], who, near), (node[4], who, far)]

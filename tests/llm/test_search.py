@@ -33,6 +33,18 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert got == sorted(brute(list(range(700)), x, range(0, 700, 20), 20))
 
 
+def test_copies_of_unit_vectors_go_by_the_smaller_row():
+    rng = np.random.default_rng(8)
+    for n in range(40):
+        x = rng.normal(size=(3000, 128))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = x.astype(np.float32).astype(float) if n % 2 else x
+        copies = np.sort(rng.permutation(3000)[:1000])
+        x[copies] = x[copies[0]]
+        row, score = VantageTree(x).search(x[copies[[0, 500, 999]]], 21)
+        assert (row == copies[:21]).all() and (score == score[0, 0]).all()
+
+
 def test_smaller_factor_still_finds_nearly_all():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 8))
