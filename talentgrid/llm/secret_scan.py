@@ -1,12 +1,13 @@
 """Secrets in texts: fixed patterns, and strings in a sensitive context that zstandard cannot compress.
 
 A candidate is a run of token characters shortly after a sensitive word. Its novelty is the number of bytes that it adds to
-a zstandard frame whose dictionary holds common identifiers and the text around the candidate, divided by its length: a word,
-a path or an identifier used nearby is cheap, a random key is not.
+a zstandard frame whose dictionary holds common identifiers and the text around the candidate (but for its own repeats after
+it), divided by the bytes that random characters of its alphabet have: an identifier used nearby is cheap, a random key is not.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -34,6 +35,10 @@ IDENTIFIERS = ("username", "password", "access_token", "refresh_token", "client_
                "private", "protected", "static", "string", "integer", "boolean", "double", "vector", "namespace", "package",
                "http://www.", "https://", ".example.com", ".org/", "/usr/local/bin/", "/etc/", "README.md", "index.html",
                "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "xxxxxxxxxxxxxxxx", "0000000000000000")
+# Alphabets of keys by size; a candidate is held against the first that has all its characters, or against all 66.
+ALPHABETS = tuple((n, re.compile(x, re.ASCII)) for n, x in (
+    (10, "[0-9=]+"), (16, "[0-9a-f=]+"), (16, "[0-9A-F=]+"), (26, "[a-z=]+"), (26, "[A-Z=]+"), (32, "[A-Z2-7=]+"), (32, "[a-z2-7=]+"),
+    (36, "[A-Z0-9=]+"), (36, "[a-z0-9=]+"), (52, "[A-Za-z=]+"), (62, "[A-Za-z0-9=]+")))
 CONTEXT, AROUND, LEAST, NOVELTY = 48, 1024, 16, 0.8
 
 
@@ -61,6 +66,10 @@ class SecretScanner:
         squeeze = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
         return len(squeeze.compress(candidate.encode())) - len(squeeze.compress(b""))
 
+    def random_bytes(self, candidate: str) -> float:
+        """Bytes of entropy that the candidate has if its characters are random ones of its alphabet."""
+        return len(candidate) * math.log2(next((n for n, x in ALPHABETS if x.fullmatch(candidate)), 66)) / 8
+
     def novel(self, text: str, lowered: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         if not any(w in lowered for w in self.sensitive):
             return []
@@ -74,10 +83,8 @@ class SecretScanner:
                 at = bisect_left(taken, (m.end(),))
                 if any(a < m.end() and m.start() < b for a, b in taken[max(0, at - 3) : at]):
                     continue  # reported already
-                if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
-                    continue
-                near = text[max(0, m.start() - self.around) : m.start()] + " " + text[m.end() : m.end() + self.around]
-                if self.added_bytes(s, near) >= self.novelty * len(s):
+                near = text[max(0, m.start() - self.around) : m.start()] + " " + text[m.end() : m.end() + self.around].replace(s, " ")
+                if self.added_bytes(s, near) >= self.novelty * max(self.least, self.random_bytes(s)):  # a repeat costs some bytes, too
                     found.append((*m.span(), "novel"))
         return found
 

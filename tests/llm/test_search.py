@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -82,6 +83,16 @@ def test_novel_strings_in_sensitive_context():
     assert spans(f"uses {KEY} as an identifier, so auth {KEY} is known nearby") == []
 
 
+@pytest.mark.parametrize("letters, size", [("0123456789ABCDEF", 64), ("0123456789ABCDEF", 128), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 200),
+                                           ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 1000),
+                                           ("0123456789", 20), ("abcdefghijklmnopqrstuvwxyz", 32), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 24)])
+def test_random_keys_of_every_alphabet_are_novel(letters, size):
+    rng = random.Random(size)
+    for _ in range(30):
+        key = "".join(rng.choices(letters, k=size))
+        assert [(a, b, k) for a, b, k in SecretScanner().scan(f"Bearer {key}\nagain: {key}") if k == "novel"] == [(7, 7 + size, "novel")]
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
