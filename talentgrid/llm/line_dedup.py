@@ -56,9 +56,10 @@ def _near(docs: DataFrame, distinct: DataFrame, min_near: int, variant_chars: in
     short = texts.filter(F.col("n") <= variant_chars)
     cut = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(F.concat(
         F.substring(F.col("line"), F.lit(1), i - 1), F.substring(F.col("line"), i + 1, F.col("n")))))
-    variants = stored(short.select(*LINE, "first", F.posexplode(cut).alias("i", "variant")), "variants")
-    changed = variants.groupBy("variant", "i").agg(F.count("*").alias("lines"), F.min("first").alias("other")).filter("lines > 1")
-    changed = variants.join(changed, ["variant", "i"]).filter("other < first").select(*LINE, "other")
+    variants = stored(short.select(*LINE, "first", "n", F.posexplode(cut).alias("i", "variant")), "variants")
+    alike = variants.filter(F.col("n") >= min_near)  # shorter lines, one change apart, are not near each other
+    changed = alike.groupBy("variant", "i").agg(F.count("*").alias("lines"), F.min("first").alias("other")).filter("lines > 1")
+    changed = alike.join(changed, ["variant", "i"]).filter("other < first").select(*LINE, "other")
     longer = variants.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("first2"), F.col("variant").alias("a"))
     both = short.select(*LINE, "first").join(longer, "a")
     lacking = both.filter("first2 < first").select(*LINE, F.col("first2").alias("other")).union(

@@ -59,3 +59,9 @@ def test_sql_twins_on_the_edge_cases(spark, docs_of):
     con.executemany("INSERT INTO documents VALUES (?, ?)", LINES)
     got = {r[0]: r[1:3] for r in con.execute(twins.LINES).fetchall()}
     assert got == {k: v[:2] for k, v in plain.dedup_lines(sorted(LINES)).items()}
+
+
+def test_a_short_earliest_neighbour_hides_no_longer_one(docs_of):
+    line = "abcdefghijklmnopqrstuvw"  # 23 characters
+    rows = [(1, line[:4] + "X" + line[5:]), (2, line + "x"), (3, line)]
+    assert removed(docs_of, rows) == plain.dedup_lines(rows) == {1: (1, 0, rows[0][1]), 2: (1, 0, rows[1][1]), 3: (1, 1, "")}
