@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import (bpe, decontaminate, language, line_dedup, near_dedup, passages, secret_scan, token_counts,
+from talentgrid.llm import (bpe, decontaminate, language, line_dedup, mixture, near_dedup, passages, secret_scan, token_counts,
                             token_files, twins, vantage)
 from talentgrid.llm.common import ship_package, table
 
@@ -88,3 +88,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out"))
     return language.predict(docs, language.learn(docs), keep=("doc_id", "held_out"))
+
+
+@query("op13_source_schedule", twins.MIXTURE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture_counts(table(spark, sf_dir, "documents")).drop("source")

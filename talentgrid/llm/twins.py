@@ -45,3 +45,20 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
 FROM marked GROUP BY doc_id
 UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
 """
+
+MIXTURE = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                  md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), chr(10), coalesce(md5(text), ''))) AS o FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3 * n AS cap FROM per),
+ratios AS (SELECT *, cap / w AS ratio, row_number() OVER (ORDER BY source NULLS LAST) AS s FROM weighed),
+levels AS (SELECT *, CAST(sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+                     / sum(w) OVER (ORDER BY ratio, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ratios),
+targets AS (SELECT source, n, least(CAST(cap AS DOUBLE), w * (SELECT arg_min(level, (ratio, s)) FROM levels WHERE level <= ratio)) AS target FROM levels),
+streams AS (SELECT d.*, n, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+            FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source),
+epochs AS (SELECT *, CAST(floor(target) AS BIGINT) AS whole, CASE WHEN n > 0 THEN CAST(floor(target) AS BIGINT) // n ELSE 0 END AS epochs FROM streams)
+SELECT doc_id, size, n AS source_size, target,
+       CAST(epochs * size + greatest(0, least(upto, whole - epochs * n) - (upto - size)) AS BIGINT) AS taken
+FROM epochs
+"""
