@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import (bpe, decontaminate, language, line_dedup, mixture, near_dedup, passages, secret_scan, token_counts,
-                            token_files, twins, vantage)
+from talentgrid.llm import (bpe, decontaminate, language, line_dedup, mixture, near_dedup, passages, ranked_search,
+                            secret_scan, token_counts, token_files, twins, vantage)
 from talentgrid.llm.common import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.learn(docs), keep=("doc_id", "held_out"))
 
 
+@query("op11_norm_buckets", twins.RANKED)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_source_schedule", twins.MIXTURE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_counts(table(spark, sf_dir, "documents")).drop("source")

@@ -62,3 +62,20 @@ SELECT doc_id, size, n AS source_size, target,
        CAST(epochs * size + greatest(0, least(upto, whole - epochs * n) - (upto - size)) AS BIGINT) AS taken
 FROM epochs
 """
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+docs AS (SELECT * FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM docs),
+i AS (SELECT row_number() OVER () AS q, item_id, {_WORDS.format('text')} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+it AS (SELECT q, term, count(*) AS times FROM (SELECT q, unnest(w) AS term FROM i) GROUP BY q, term),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM it) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+v AS (SELECT r, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(docs.w) * total.docs) // total.words)) AS v
+      FROM tf JOIN docs USING (r), total),
+scores AS (SELECT q, r, CAST(sum(it.times * w.w * v.v) AS BIGINT) AS score FROM it JOIN w USING (term) JOIN v USING (term) GROUP BY q, r),
+ranked AS (SELECT q, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+           FROM scores JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN i USING (q) WHERE rank <= 20
+"""
