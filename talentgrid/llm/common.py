@@ -90,9 +90,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a run of texts: 64-bit hashes, and where each text's words begin (``first`` has one entry more)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        """``data``: UTF-8 bytes of all texts; text i has those from offsets[i] to offsets[i+1]."""
-        low = _WORD[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD):
+        """``data``: UTF-8 bytes of all texts; text i has those from offsets[i] to offsets[i+1]. ``table``: 0 for bytes between
+        words, what counts of the others."""
+        low = table[data]
         is_word = low != 0
         before = np.empty(len(low), bool)
         after = np.empty(len(low), bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import (bpe, decontaminate, language, line_dedup, mixture, near_dedup, passages, ranked_search,
+from talentgrid.llm import (bpe, collocations, decontaminate, language, line_dedup, mixture, near_dedup, passages, ranked_search,
                             secret_scan, token_counts, token_files, twins, vantage)
 from talentgrid.llm.common import ship_package, table
 
@@ -95,6 +95,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_phrase_growth", twins.PHRASES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_source_schedule", twins.MIXTURE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_counts(table(spark, sf_dir, "documents")).drop("source")

@@ -79,3 +79,21 @@ ranked AS (SELECT q, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER
            FROM scores JOIN docs USING (r) WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked JOIN i USING (q) WHERE rank <= 20
 """
+
+PHRASES = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, w[s : s + k - 1] AS p FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM words) WHERE len(w) >= k)),
+f AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p HAVING count(*) >= 30),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+cuts AS (SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+scores AS (SELECT c.lang, c.p, c.f, k, x.f AS l, y.f AS r, CAST((2000000 * CAST(c.f AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[: k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 :]),
+best AS (SELECT lang, p, f, min((score, k)) AS low FROM scores GROUP BY lang, p, f),
+inside AS (SELECT lang, p[s : s + k - 1] AS p, max(f) AS longer FROM (SELECT *, unnest(range(1, len(p) - k + 2)) AS s FROM (SELECT *, unnest(range(2, len(p))) AS k FROM f)) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * b.f),
+ranked AS (SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.f AS a, l, r, score FROM scores s JOIN kept USING (lang, p) WHERE (score, k) = low)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) JOIN total USING (lang) WHERE rank <= 2000
+"""
