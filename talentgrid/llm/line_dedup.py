@@ -1,25 +1,27 @@
 """Repeated lines, exact or one edit apart, over all documents; the earliest stays. DataFrame functions only.
 
 Lines are told apart by a 128-bit hash of their trimmed text, so the texts themselves are not shuffled to find equal ones.
-For lines one edit apart each emits its deletion neighbourhood, the line without its i-th character for every i, as hashes:
+For lines one edit apart each emits its deletion neighbourhood, the line without its i-th character, as hashes:
 
 * two lines with the same variant at the same i differ in character i only;
 * a line that equals another's variant lacks one of its characters.
 
+A variant is emitted only where a partner may be. One edit leaves the first or the second half of a line as it is, so a line
+whose four half-line hashes occur nowhere else has none. The others are cut in segments of about the square root of their
+length; a partner agrees with all but one of them, so only a segment whose surroundings another line shares gives variants,
+and these are hashes of the surroundings and of the segment without a character. That way a line of any length costs little.
 A group of equal variants is reduced to its earliest line, so no group is expanded into pairs, and a line's earliest partner
-is verified by edit distance. Only lines that can have a partner emit variants: one edit leaves the first or the second half
-of a line as it is, so a line whose four half-line hashes occur nowhere else has none. Lines of more than ``variant_chars``
-characters are compared with the lines that share such a half instead.
+is verified by edit distance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.llm.common import small_enough, stored
 
-MIN_NEAR, VARIANT_CHARS = 24, 4096
+MIN_NEAR = 24
 FIRST = ["doc_id", "own", "line_no"]
 LINE = ["a", "b"]
 
@@ -41,7 +43,18 @@ def _halves() -> list:
     return out
 
 
-def _near(docs: DataFrame, distinct: DataFrame, min_near: int, variant_chars: int) -> DataFrame:
+def _segments(n: Column) -> tuple[Column, Column]:
+    """Segments of a line, as the shorter or equal and as the longer of two lines: (role, base, at, size), base the shorter's
+    length; ``at`` characters stand before a segment, and in the longer line it is one longer."""
+    def of(role: int, base: Column) -> Column:
+        width = F.ceil(F.sqrt(base)).cast("int")
+        cut = lambda j: F.struct(F.lit(role).alias("role"), base.alias("base"), (j * width).alias("at"),
+                                 (F.least(width, base - j * width) + role).alias("size"))
+        return F.when(base > 0, F.transform(F.sequence(F.lit(0), F.floor((base - 1) / width).cast("int")), cut)).otherwise(F.array())
+    return of(0, n), of(1, n - 1)
+
+
+def _near(docs: DataFrame, distinct: DataFrame, min_near: int) -> DataFrame:
     """(a, b) of the distinct lines that an earlier one is within one edit of."""
     halves = distinct.filter(F.col("n") >= min_near - 1).select(*LINE, F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
     busy = stored(halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half"), "shared-halves")
@@ -52,37 +65,43 @@ def _near(docs: DataFrame, distinct: DataFrame, min_near: int, variant_chars: in
     same = (F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (F.col("own") == F.col("own_"))
             & (F.col("line_no") == F.col("line_no_")) & (F.col("a") == F.col("a_")))
     texts = stored(_lines(docs).join(at, same, "left_semi").dropDuplicates(LINE)
-                   .withColumns({"n": F.length("line"), "first": F.struct(*FIRST), "halves": F.array(*_halves())}), "able-texts")
-    short = texts.filter(F.col("n") <= variant_chars)
-    cut = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.xxhash64(F.concat(
-        F.substring(F.col("line"), F.lit(1), i - 1), F.substring(F.col("line"), i + 1, F.col("n")))))
-    variants = stored(short.select(*LINE, "first", "n", F.posexplode(cut).alias("i", "variant")), "variants")
-    alike = variants.filter(F.col("n") >= min_near)  # shorter lines, one change apart, are not near each other
-    changed = alike.groupBy("variant", "i").agg(F.count("*").alias("lines"), F.min("first").alias("other")).filter("lines > 1")
-    changed = alike.join(changed, ["variant", "i"]).filter("other < first").select(*LINE, "other")
-    longer = variants.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("first2"), F.col("variant").alias("a"))
-    both = short.select(*LINE, "first").join(longer, "a")
-    lacking = both.filter("first2 < first").select(*LINE, F.col("first2").alias("other")).union(
-        both.filter("first < first2").select(F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("first").alias("other")))
-    big = texts.filter(F.col("n") > variant_chars - 1)
-    sides = big.select(*LINE, "first", "n", F.explode("halves").alias("half"))
-    other = sides.select("half", F.col("first").alias("other"), F.col("n").alias("n2"))
-    large = sides.join(other, "half").filter("other < first AND greatest(n, n2) > " + str(variant_chars)).select(*LINE, "other")
-    earliest = changed.union(lacking).groupBy(*LINE).agg(F.min("other").alias("other")).union(large)
+                   .withColumns({"n": F.length("line"), "first": F.struct(*FIRST)}), "able-texts").select(*LINE, "line", "n", "first")
+    cut = texts.select(*LINE, "line", "n", F.explode(F.concat(*_segments(F.col("n")))).alias("cut"))
+    cut = cut.select(*LINE, "n", "cut", F.xxhash64(
+        "cut.base", "cut.at", F.substring(F.col("line"), F.lit(1), F.col("cut.at")),
+        F.substring(F.col("line"), F.col("cut.at") + F.col("cut.size") + 1, F.col("n"))).alias("around"))
+    # a line is near another of its length from min_near characters on, a shorter one if the longer has as many
+    cut = stored(cut.filter(F.col("n") - F.col("cut.role") >= min_near - 1), "segments")
+    equal, longer = F.sum(F.when(F.col("cut.role") == 0, 1).otherwise(0)), F.sum("cut.role")
+    shared = cut.groupBy("around").agg(equal.alias("equal"), longer.alias("longer")).filter("equal > 0 AND equal + longer > 1")
+    shared = stored(cut.join(shared, "around").select(*LINE, "n", "cut", "around", "equal", "longer"), "shared-segments")
+    shared = shared.join(texts.select(*LINE, "line", "first"), LINE).withColumn(
+        "segment", F.substring(F.col("line"), F.col("cut.at") + 1, F.col("cut.size")))
+    row = lambda side, *parts: F.struct(F.lit(side).alias("side"), F.xxhash64("around", F.lit(min(side, 1)), *parts).alias("variant"))
+    without = lambda side, *place: F.transform(F.sequence(F.lit(1), F.col("cut.size")), lambda i: row(
+        side, *[i for _ in place], F.concat(F.substring(F.col("segment"), F.lit(1), i - 1), F.substring(F.col("segment"), i + 1, F.col("cut.size")))))
+    none = F.array().cast("array<struct<side:int,variant:bigint>>")
+    changed = F.when((F.col("cut.role") == 0) & (F.col("equal") > 1) & (F.col("n") >= min_near), without(0, "place")).otherwise(none)
+    lacking = F.when((F.col("cut.role") == 0) & (F.col("longer") > 0), F.array(row(1, "segment"))).otherwise(none)
+    having = F.when(F.col("cut.role") == 1, without(2)).otherwise(none)
+    rows = stored(shared.select(*LINE, "first", F.explode(F.concat(changed, lacking, having)).alias("v")).select(*LINE, "first", "v.*"), "variants")
+    groups = rows.groupBy("variant").agg(F.count("*").alias("lines"), F.min(F.when(F.col("side") < 2, F.col("first"))).alias("short_or_equal"),
+                                         F.min(F.when(F.col("side") == 2, F.col("first"))).alias("longer")).filter("lines > 1")
+    other = F.when(F.col("side") == 1, F.col("longer")).otherwise(F.col("short_or_equal"))
+    earliest = rows.join(groups, "variant").withColumn("other", other).filter("other < first").groupBy(*LINE).agg(F.min("other").alias("other"))
     check = earliest.join(texts.select(*LINE, "line"), LINE).join(
         texts.select(F.col("first").alias("other"), F.col("line").alias("line2")), "other")
-    return check.filter(F.greatest(F.length("line"), F.length("line2")) >= min_near).filter(
-        F.levenshtein("line", "line2", 1).between(0, 1)).select(*LINE).distinct()
+    return check.filter(F.levenshtein("line", "line2", 1).between(0, 1)).select(*LINE).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_near: int = MIN_NEAR,
-                variant_chars: int = VARIANT_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1,
+                min_near: int = MIN_NEAR) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text_col``, and n_lines, n_removed (long) added.
 
     Lines end at line feeds and are compared without blanks at their ends; blank lines stay. A line goes if an equal line
     comes earlier, in order of id, then line number, or if an earlier line, kept or not, is within ``max_edits`` (0 or 1)
     insertions, deletions or changes of a character and one of the two has ``min_near`` characters or more: in short lines
-    one edit is another word. A null text stays null (0 lines); an empty one has one blank line. A null id comes first. Rows
+    one edit is another word (``min_near`` 0 takes lines of any length). A null text stays null (0 lines); an empty one has one blank line. A null id comes first. Rows
     with the same id and text are one document and get the same result; rows with the same id only are ordered by a hash of
     their text. Columns of ``docs`` pass through; none may be called n_lines or n_removed, or they are replaced.
     """
@@ -97,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *[F.first(k).alias(k) for k in keys]), "distinct-lines")
     gone = distinct.filter("times > 1").select(*LINE, "first", F.lit(False).alias("near"))
     if max_edits:
-        near = stored(_near(narrow, distinct, min_near, variant_chars), "near-lines").withColumn("near", F.lit(True))
+        near = stored(_near(narrow, distinct, min_near), "near-lines").withColumn("near", F.lit(True))
         gone = distinct.join(near, LINE, "left").filter("times > 1 OR near").select(
             *LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = stored(gone, "repeated-lines")

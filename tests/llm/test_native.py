@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -40,9 +42,27 @@ def removed(docs_of, rows, **how):
     return {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs_of(rows), **how).collect()}
 
 
-@pytest.mark.parametrize("variant_chars", [4096, 30, 1])
-def test_lines_are_those_of_all_pairs(docs_of, variant_chars):
-    assert removed(docs_of, LINES, variant_chars=variant_chars) == plain.dedup_lines(sorted(LINES))
+@pytest.mark.parametrize("min_near", [24, 0])
+def test_lines_are_those_of_all_pairs(docs_of, min_near):
+    assert removed(docs_of, LINES, min_near=min_near) == plain.dedup_lines(sorted(LINES), min_near)
+
+
+@pytest.mark.parametrize("min_near", [24, 0])
+def test_random_edits_are_found_wherever_they_are(docs_of, min_near):
+    rng = random.Random(min_near)
+    rows = []
+    for n in range(120):
+        line = "".join(rng.choice("abé ") for _ in range(rng.choice([1, 2, 3, 5, 23, 24, 25, 40, 300])))
+        lines = [line]
+        for _ in range(5):
+            x = list(rng.choice(lines))
+            for _ in range(rng.choice([1, 1, 2])):
+                at = rng.randrange(len(x) + 1)
+                x[at:at + rng.randrange(2)] = rng.choice(["", "a", "b", "é"])
+            lines.append("".join(x))
+        rng.shuffle(lines)
+        rows.append((n, "\n".join(lines)))
+    assert removed(docs_of, rows, min_near=min_near) == plain.dedup_lines(rows, min_near)
 
 
 def test_lines_of_repeated_rows_null_ids_and_empty_tables(docs_of):
