@@ -127,6 +127,7 @@ def usable(vector: Column) -> Column:
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "group": pa.array([key[1].as_py()], pa.int64()), "ids": [rows["id"].to_numpy().astype("<i8").tobytes()],
+                     "keys": [rows["key"].to_numpy().astype("<i8").tobytes()],
                      "vectors": [np.stack(rows["vector"].to_numpy()).astype("<f8").tobytes()]})
 
 
@@ -140,7 +141,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, factor: float, leaf: int)
                 ids = ids[by_id]
                 tree, names = VantageTree(np.frombuffer(r["vectors"], "<f8").reshape(len(ids), -1)[by_id], leaf), ids
                 last = (r["dim"], r["shard"])
-            asked = np.frombuffer(r["query_ids"], "<i8")
+            asked, keys = np.frombuffer(r["query_ids"], "<i8"), np.frombuffer(r["query_keys"], "<i8")
             queries = np.frombuffer(r["query_vectors"], "<f8").reshape(len(asked), -1)
             extra = 1
             while True:  # a query's own rows don't count; there may be several
@@ -152,8 +153,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, factor: float, leaf: int)
             kept = (row >= 0) & ~own
             kept &= np.cumsum(kept, 1) <= k
             q, at = np.nonzero(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(names[row[q, at]]), pa.array(score[q, at])],
-                                             ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(keys[q]), pa.array(names[row[q, at]]), pa.array(score[q, at])],
+                                             ["query_id", "key", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -162,20 +163,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     ``queries`` has the same columns. Nearest first, ties to the smaller id; a query's own id is no candidate. Ids that are
     null and vectors that are null, zero or not finite take no part; vectors of another length than the query's are no
-    candidates. Rows that repeat an id are candidates each. Fewer candidates give fewer rows, empty tables none.
+    candidates. Rows that repeat an id are candidates each. A query row that is there again is one query; different vectors
+    under one id are queries of their own, ranked each for itself. Fewer candidates give fewer rows, empty tables none.
     """
-    def dealt(df: DataFrame, group_size: int) -> DataFrame:
+    def dealt(df: DataFrame, group_size: int, once: bool = False) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-        rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
+        rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))
+        rows = (rows.distinct() if once else rows).withColumns({"dim": F.size("vector"), "key": F.xxhash64("id", "vector")})
         groups = max(1, -(-rows.count() // group_size))
-        return rows.withColumn("group", F.pmod(F.xxhash64("id", "vector"), F.lit(groups))).groupBy("dim", "group").applyInArrow(
-            _pack, "dim int, group long, ids binary, vectors binary")
+        return rows.withColumn("group", F.pmod("key", F.lit(groups))).groupBy("dim", "group").applyInArrow(
+            _pack, "dim int, group long, ids binary, keys binary, vectors binary")
 
-    shards = stored(dealt(vectors, shard_size).withColumnRenamed("group", "shard"), "shards")
-    blocks = stored(dealt(queries, QUERIES), "query-blocks").withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
+    shards = stored(dealt(vectors, shard_size).withColumnRenamed("group", "shard").drop("keys"), "shards")
+    blocks = stored(dealt(queries, QUERIES, once=True), "query-blocks").withColumnsRenamed(
+        {"ids": "query_ids", "keys": "query_keys", "vectors": "query_vectors"})
     here = blocks.select("dim", "group").distinct().groupBy("dim").agg(F.collect_list("group").alias("groups"))
     cells = shards.join(here, "dim").withColumn("group", F.explode("groups")).drop("groups").join(blocks, ["dim", "group"])
     cells = cells.repartition(max(1, shards.count()), "dim", "shard").sortWithinPartitions("dim", "shard")
-    found = cells.mapInArrow(partial(_search, k=k, factor=factor, leaf=leaf), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = cells.mapInArrow(partial(_search, k=k, factor=factor, leaf=leaf), "query_id long, key long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
