@@ -39,8 +39,13 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: Broadcast,
                 files.create_dir(base, recursive=True)
                 out = files.open_output_stream(f"{base}/{name}")
             end = end_id.to_bytes(4, "little")
-            ids = b"".join(x + end for x in encode([x or "" for x in rows.column(1).to_pylist()]))
-            out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes())
+            encoded = encode([x or "" for x in rows.column(1).to_pylist()])
+            own = np.frombuffer(b"".join(encoded), "<u4")
+            if int(own.max(initial=end_id)) >= 1 << 8 * width:
+                raise ValueError(f"ids of {width} bytes are too narrow for this tokenizer's")
+            if (own == end_id).any():
+                raise ValueError(f"{end_id} is an id of ordinary text and can't end documents")
+            out.write(np.frombuffer(b"".join(x + end for x in encoded), "<u4").astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([name] * len(rows)),
                                               pa.array(np.arange(n, n + len(rows)))], ["doc_id", "file", "nth"])
             n += len(rows)
@@ -52,7 +57,9 @@ def write_flat_files(docs: DataFrame, folder: str, end_id: int = 50256, width: i
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write flat token files under ``folder``, one for each task; returns which document is where (doc_id, file, nth).
 
-    The strings of special tokens are encoded as ordinary text, so ``end_id`` only ends documents. A null text is empty.
+    The strings of special tokens are encoded as ordinary text, so ``end_id`` only ends documents; where a text has it all the
+    same, or an id that ``width`` bytes (2 or 4) can't hold, the write fails. A null text is empty. Null ids and repeated rows
+    are documents of their own. An empty table gives no file and no row. Other columns are not read.
     """
     tokenizer = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

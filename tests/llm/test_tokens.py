@@ -102,3 +102,12 @@ def test_counts_over_block_boundaries(spark, docs_of, block_bytes):
 
 def test_no_files_no_counts(spark, docs_of):
     assert token_counts.document_token_counts(docs_of([]).limit(0)).count() == 0
+
+
+def test_ids_too_wide_and_end_ids_of_ordinary_text_are_refused(spark, docs_of):
+    rows = docs_of([(1, "some ordinary text")])
+    with pytest.raises(Exception, match="too narrow"):
+        token_counts.write_flat_files(rows, new_folder(spark, "t"), end_id=70_000, width=2)
+    used = Tokenizer.from_str(tokenizer_text()).encode("some ordinary text", add_special_tokens=False).ids[0]
+    with pytest.raises(Exception, match="ordinary text"):
+        token_counts.write_flat_files(rows, new_folder(spark, "t"), end_id=used)
