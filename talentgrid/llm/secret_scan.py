@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and strings in a sensitive context that zstandard cannot compress.
 
 A candidate is a run of token characters shortly after a sensitive word. Its novelty is the number of bytes that it adds to
-a zstandard frame whose dictionary holds common identifiers and the text around the candidate (but for its own repeats after
-it), divided by the bytes that random characters of its alphabet have: an identifier used nearby is cheap, a random key is not.
+a zstandard frame whose dictionary holds common identifiers, the words that most texts share, and the text around the candidate
+(but for its own repeats after it), divided by the bytes that random characters of its alphabet have: an identifier used nearby
+or made of known words is cheap, a random key is not.
 """
 
 from __future__ import annotations
@@ -39,7 +40,14 @@ IDENTIFIERS = ("username", "password", "access_token", "refresh_token", "client_
 ALPHABETS = tuple((n, re.compile(x, re.ASCII)) for n, x in (
     (10, "[0-9=]+"), (16, "[0-9a-f=]+"), (16, "[0-9A-F=]+"), (26, "[a-z=]+"), (26, "[A-Z=]+"), (32, "[A-Z2-7=]+"), (32, "[a-z2-7=]+"),
     (36, "[A-Z0-9=]+"), (36, "[a-z0-9=]+"), (52, "[A-Za-z=]+"), (62, "[A-Za-z0-9=]+")))
-CONTEXT, AROUND, LEAST, NOVELTY = 48, 1024, 16, 0.8
+CONTEXT, AROUND, LEAST, NOVELTY = 48, 1024, 16, 0.98
+#: zstandard's level (higher ones parse text anew for a few more bytes), bytes of known words in each frame, and how much more
+#: than their bits random characters add at 32 or fewer.
+LEVEL, FILLER, SHORT = 12, 2048, 0.08
+#: The learned dictionary: at most so many words, each of at least so many texts. Longer runs of letters are never words of it,
+#: so a key that thousands of copies hold does not become known.
+LEARNED, LEARNED_TEXTS = 3000, 5
+WORD = r"(?<![A-Za-z])[A-Z]?[a-z]{3,11}(?![a-z])"
 
 
 class SecretScanner:
@@ -50,6 +58,7 @@ class SecretScanner:
         self.run = re.compile(rf"[A-Za-z0-9+/_=-]{{{least},}}")
         self.shared = " ".join(identifiers)
         self.context, self.around, self.least, self.novelty = context, around, least, novelty
+        self._squeeze = None  # made in the task
 
     def base(self, text: str, lowered: str) -> list[tuple[int, int, str]]:
         """Spans (start, end, kind) of the base patterns: leftmost, not overlapping within a kind, in code points."""
@@ -60,11 +69,25 @@ class SecretScanner:
             found += [(*m.span(), "access") for m in ACCESS.finditer(text)]
         return found + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
+    def _squeezed(self, text: bytes) -> int:
+        if self._squeeze is None:
+            words = zstandard.ZstdCompressionDict(self.shared.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=18, min_match=3, write_content_size=False,
+                                                                 write_checksum=False, write_dict_id=False)
+            self._squeeze = zstandard.ZstdCompressor(compression_params=how, dict_data=words)
+        return len(self._squeeze.compress(text))
+
     def added_bytes(self, candidate: str, around: str) -> int:
-        """Bytes that the candidate adds to a frame primed with the identifiers and the text around it."""
-        primed = zstandard.ZstdCompressionDict((self.shared + " " + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        squeeze = zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return len(squeeze.compress(candidate.encode())) - len(squeeze.compress(b""))
+        """Bytes that the candidate adds to a frame of known words and the text around it, primed with all the identifiers.
+
+        In a frame of its own a short candidate would be stored as it is, whatever its words."""
+        before = f"{self.shared[-FILLER:]} {around} ".encode()
+        return self._squeezed(before + candidate.encode()) - self._squeezed(before)
+
+    def least_added(self, candidate: str) -> float:
+        """What random characters add, nearly: text has other characters more often, so short keys cost more than their bits."""
+        random = self.random_bytes(candidate)
+        return max(self.novelty * self.least * 0.75, random * (self.novelty + SHORT * min(1.0, 32 / len(candidate))))
 
     def random_bytes(self, candidate: str) -> float:
         """Bytes of entropy that the candidate has if its characters are random ones of its alphabet."""
@@ -84,7 +107,7 @@ class SecretScanner:
                 if any(a < m.end() and m.start() < b for a, b in taken[max(0, at - 3) : at]):
                     continue  # reported already
                 near = text[max(0, m.start() - self.around) : m.start()] + " " + text[m.end() : m.end() + self.around].replace(s, " ")
-                if self.added_bytes(s, near) >= self.novelty * max(self.least, self.random_bytes(s)):  # a repeat costs some bytes, too
+                if self.added_bytes(s, near) >= self.least_added(s):  # a repeat costs some bytes, too
                     found.append((*m.span(), "novel"))
         return found
 
@@ -95,6 +118,15 @@ class SecretScanner:
         return sorted(base + self.novel(text, lowered, base), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def learn_identifiers(docs: DataFrame, text_col: str = "text", most: int = LEARNED, least_texts: int = LEARNED_TEXTS) -> list[str]:
+    """The words of 4 to 12 letters, as identifiers are made of, that most texts have (equal numbers: in order of the word),
+    counted over all texts and rising, so that zstandard finds the commonest nearest. Null and empty texts have none."""
+    words = docs.select(F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(WORD), 0), F.lower))).alias("word"))
+    texts = words.groupBy("word").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least_texts)
+    return [r.word for r in texts.orderBy(F.desc("texts"), "word").limit(most).collect()][::-1]
+
+
 def _scan(batches: Iterator[pa.RecordBatch], scanner: SecretScanner) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = [[{"start": a, "end": b, "kind": k} for a, b, k in scanner.scan(x or "")] for x in batch.column(1).to_pylist()]
@@ -106,8 +138,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, spans) for every row of ``docs``; spans: array of (start, end, kind), by start, then kind in the order of KINDS.
 
     Positions are code points, the end exclusive. A null or empty text has no spans. Repeated rows and null ids pass like
-    others; other columns are not read. A text is searched in one pass; a candidate costs two small frames.
+    others, an empty table gives an empty result; other columns are not read. A text is searched in one pass; a candidate costs
+    two small frames. Without a ``scanner`` one is made with the words of ``learn_identifiers``.
     """
+    scanner = scanner or SecretScanner(identifiers=(*learn_identifiers(docs, text_col), *IDENTIFIERS))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_scan, scanner=scanner or SecretScanner()),
+    return rows.mapInArrow(partial(_scan, scanner=scanner),
                            "id long, spans array<struct<start: long, end: long, kind: string>>").withColumnRenamed("id", id_col)

@@ -34,6 +34,19 @@ def test_nearest_is_exact_at_factor_one(spark):
     assert got == sorted(brute(list(range(700)), x, range(0, 700, 20), 20))
 
 
+def test_repeated_query_rows_are_one_query_and_other_vectors_their_own(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(101, 8))
+    rows = [(i, x[i].tolist()) for i in range(100)] + [(20, x[20].tolist()), (40, x[100].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, df.filter("vec_id in (20, 40)"), k=20, shard_size=30, leaf=4).collect()
+    ids = [i for i, _ in rows]
+    for query, vectors in ((20, [x[20]]), (40, [x[40], x[100]])):
+        want = sorted((n + 1, ids[j], round(-s, 9)) for v in vectors for n, (s, j) in enumerate(
+            sorted((round(-float(np.dot(np.array(rows[j][1]), v)), 9), j) for j in range(len(rows)) if ids[j] != query)[:20]))
+        assert sorted((r.rank, r.vec_id, round(r.score, 9)) for r in got if r.query_id == query) == want
+
+
 def test_copies_of_unit_vectors_go_by_the_smaller_row():
     rng = np.random.default_rng(8)
     for n in range(40):
@@ -93,6 +106,35 @@ def test_random_keys_of_every_alphabet_are_novel(letters, size):
         assert [(a, b, k) for a, b, k in SecretScanner().scan(f"Bearer {key}\nagain: {key}") if k == "novel"] == [(7, 7 + size, "novel")]
 
 
+def test_planted_keys_are_found_and_identifiers_of_the_corpus_are_not(docs_of):
+    """Recall and precision of novel spans; the identifiers are made of words that other texts have, none of them nearby."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("bcdfghlmnprst", k=2)) + "".join(rng.choices("aeiou", k=1)) + "".join(rng.choices("bcdfglmnprst", k=1))
+             + rng.choice(["ing", "tion", "er", "able"]) for _ in range(300)]
+    plain_texts = [(1000 + n, " ".join(rng.choices(words, k=200))) for n in range(60)]
+    join = [lambda w: "_".join(w), lambda w: w[0] + "".join(x.title() for x in w[1:]), lambda w: "-".join(w)]
+    names = {n: rng.choice(join)(rng.choices(words, k=3)) for n in range(150)}
+    letters = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF"]
+    keys = {n: "".join(rng.choices(letters[n % 3], k=rng.randrange(20, 60))) for n in range(200, 350)}
+    leaked = [(n, f"bearer {keys[200]} end") for n in range(400, 440)]  # copies don't make a key known
+    rows = [(n, f"auth with {x} and more") for n, x in {**names, **keys}.items()] + leaked + plain_texts
+    found = {r.doc_id for r in find_secrets(docs_of(rows)).collect() if any(s.kind == "novel" for s in r.spans)}
+    assert len(found & set(keys)) == 150 and len(found & {n for n, _ in leaked}) == 40
+    assert len(found & set(names)) <= 3 and not found & {n for n, _ in plain_texts}
+
+
+def test_added_bytes_are_those_of_two_frames():
+    """The novelty measure against frames squeezed apart, with and without the candidate."""
+    import zstandard
+    scanner = SecretScanner(identifiers=("alpha", "session_token"))
+    how = zstandard.ZstdCompressionParameters.from_level(12, window_log=18, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for candidate, around in ((KEY, ""), ("session_token_alpha", "x"), (KEY, "uses " + KEY)):
+        squeeze = lambda x: len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(
+            b"alpha session_token", dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(x.encode()))
+        both = f"alpha session_token {around} "
+        assert scanner.added_bytes(candidate, around) == squeeze(both + candidate) - squeeze(both)
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
