@@ -123,11 +123,15 @@ def held_out(doc_id: Column) -> Column:
 
 def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[bytes], list[str]]:
     """A bounded sample of the labelled documents that are not held out: SAMPLE_WINDOWS stretches, spread evenly over the text,
-    of SAMPLE_DOCS documents of each language, in order of a hash of the id."""
+    of SAMPLE_DOCS documents of each language, in order of a hash of the id. Twice as many at most, as a rule, meet in one task:
+    a bound on the hash, from the language's number of documents, leaves no more."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id"))).filter(F.col("text").rlike(r"\p{L}"))
     spare = F.greatest(F.length("text") - WINDOW, F.lit(0))
     cuts = [F.substring(F.col("text"), (F.floor(spare * i / max(1, SAMPLE_WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("docs")).withColumnRenamed("lang", "own_lang")
+    share = (F.xxhash64("doc_id") / 2.0**64 + 0.5) * F.col("docs")
+    rows = rows.join(sizes, F.col("lang") == F.col("own_lang")).filter(share <= SAMPLE_DOCS * 1.5 + 100)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     rows = rows.select("lang", "doc_id", F.array_distinct(F.array(*cuts)).alias("cuts")).withColumn("nth", nth)
     sample = rows.filter(F.col("nth") <= SAMPLE_DOCS).orderBy("nth", "lang").limit(SAMPLE_DOCS * SAMPLE_LANGS).collect()
