@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from talentgrid.llm.common import Words, mix, small_enough, stored, text_steps
 
 LEAST, LONGEST, TOP, DROP_PERCENT = 30, 4, 2000, 80
-TABLE_BITS, FLUSH_ROWS = 25, 1 << 21
+TABLE_BITS, FLUSH_ROWS = 23, 1 << 21
 UNKNOWN = "und"
 # Blanks between words, and what ends a piece of text; A-Z are lower-cased.
 _BLANKS, _ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -193,12 +193,10 @@ class _Growth:
         self.words = stored(counts.filter(F.col("f") >= least).select(F.array("word").alias("phrase"), "lang", "f"), "frequent-words")
         self.frequent = BitTable.of(self.words.select(F.col("phrase")[0].alias("slot")), table_bits)
         self.pairs = stored(self._with_lang(self._counted({})), "pairs")
-        self.scored_pairs = stored(_scored(self.pairs, self.words), "scored-pairs")
+        self.scored = self._scored_pairs = stored(_scored(self.pairs, self.words), "scored-pairs")
+        self.bounds = stored(self._bounded(self.pairs), "bounds")
         self.grown: list[DataFrame] = []
         self.expanded: list[DataFrame] = []
-        first = self.words.select(F.col("phrase")[0].alias("first"), F.col("f").alias("f1"))
-        self.bounds = stored(self._bounded(self.pairs, first), "bounds")
-        self._first = first
 
     def _counted(self, nodes: dict[int, BitTable]) -> DataFrame:
         found = self.docs.mapInArrow(partial(_phrases, frequent=self.frequent, nodes=nodes), "phrase array<long>, f long")
@@ -208,36 +206,25 @@ class _Growth:
         first = self.words.select(F.col("phrase")[0].alias("first"), "lang")
         return phrases.join(first, F.col("phrase")[0] == F.col("first")).select("phrase", "lang", "f")
 
-    @staticmethod
-    def _bounded(phrases: DataFrame, first: DataFrame) -> DataFrame:
+    def _bounded(self, phrases: DataFrame) -> DataFrame:
         """Phrases with the highest score that a longer one beginning with them can have."""
+        first = self.words.select(F.col("phrase")[0].alias("first"), F.col("f").alias("f1"))
         return phrases.join(first, F.col("phrase")[0] == F.col("first")).withColumn("bound", _score("f1", "f", "f")).drop("first", "f1")
 
-    def known(self) -> DataFrame:
-        return reduce(DataFrame.union, [self.pairs, *self.grown])
-
-    def scored(self) -> DataFrame:
-        if not self.grown:
-            return self.scored_pairs
-        return self.scored_pairs.union(_scored(reduce(DataFrame.union, self.grown), self.words.union(self.known())))
-
     def needed(self, level: DataFrame) -> DataFrame:
         """Phrases to expand so that all of a score of ``level`` (lang, level) or more, and what drops them, get known."""
         level = F.broadcast(level) if small_enough(level, F.octet_length("lang") + 16) else level
-        bounds = self.bounds if not self.grown else self.bounds.union(self._bounded(reduce(DataFrame.union, self.grown), self._first))
-        bounds = bounds.filter(F.size("phrase") < self.longest).join(level, "lang")
+        bounds = self.bounds.filter(F.size("phrase") < self.longest).join(level, "lang")
         open_ = bounds.filter("bound >= level").select("phrase")
         ends = open_.filter(F.size("phrase") > 2).select(F.explode(F.transform(
             F.sequence(F.lit(2), F.size("phrase") - 1), lambda k: F.slice("phrase", k, F.size("phrase") - k + 1))).alias("phrase"))
-        good = self.scored().join(level, "lang").filter("score >= level").filter(F.size("phrase") < self.longest)
+        good = self.scored.join(level, "lang").filter("score >= level").filter(F.size("phrase") < self.longest)
         begins = good.select("f", F.explode(F.transform(F.sequence(F.lit(1), F.size("phrase") - 1), lambda k: F.slice("phrase", F.lit(1), k))).alias("tail"))
         begins = begins.groupBy("tail").agg(F.min("f").alias("f"))
         before = bounds.select("phrase", F.col("f").alias("f_longer"), F.slice("phrase", F.lit(2), F.size("phrase") - 1).alias("tail"))
         before = before.join(begins, "tail").filter(F.col("f_longer") * 100 >= F.col("f") * self.drop).select("phrase")
         out = open_.union(ends).union(before).distinct()
-        for old in self.expanded:
-            out = out.join(old, "phrase", "left_anti")
-        return out
+        return out.join(reduce(DataFrame.union, self.expanded), "phrase", "left_anti") if self.expanded else out
 
     def expand(self, nodes: DataFrame) -> None:
         """One scan: the phrases that are a word longer than the stored ``nodes``."""
@@ -247,10 +234,13 @@ class _Growth:
         found = found.join(nodes.select(F.col("phrase").alias("node")), "node", "left_semi")
         self.grown.append(stored(self._with_lang(found), "grown"))
         self.expanded.append(nodes)
+        self.bounds = self.bounds.union(stored(self._bounded(self.grown[-1].filter(F.size("phrase") < self.longest)), "bounds"))
+        longer = reduce(DataFrame.union, self.grown)
+        self.scored = self._scored_pairs.union(stored(_scored(longer, self.words.union(self.pairs).union(longer)), "scored"))
 
     def staying(self, level: DataFrame) -> DataFrame:
         """The scored phrases of ``level`` or more that no longer phrase of nearly their count has inside."""
-        good = self.scored().join(level, "lang").filter("score >= level")
+        good = self.scored.join(level, "lang").filter("score >= level")
         if not self.grown:
             return good.drop("level")
         longer = reduce(DataFrame.union, self.grown)
@@ -278,7 +268,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     growth = _Growth(docs, least, longest, drop_percent, table_bits)
     settled, todo, count = [], growth.totals.select("lang"), top
     while True:
-        best = _first_of(growth.scored().join(todo, "lang", "left_semi"), F.row_number(), [F.desc("score")], count)
+        best = _first_of(growth.scored.join(todo, "lang", "left_semi"), F.row_number(), [F.desc("score")], count)
         best = best.groupBy("lang").agg(F.count("*").alias("phrases"), F.min("score").alias("level"))
         level = stored(todo.join(best, "lang", "left").select("lang", F.when(F.col("phrases") == count, F.col("level")).otherwise(0).alias("level")), "levels")
         while True:
