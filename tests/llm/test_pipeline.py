@@ -61,6 +61,36 @@ def test_every_stage_is_its_plain_version(spark):
 
 
 def test_registered_names():
-    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11)) and len(QUERIES) == 10
-    assert set(ORACLES) == {"op6_prefix_filter", "op9_deletion_neighbours"}
+    assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 14)) and len(QUERIES) == 13
+    assert set(ORACLES) == {"op6_prefix_filter", "op9_deletion_neighbours", "op11_norm_buckets", "op12_phrase_growth", "op13_source_schedule"}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "bpe"]
+
+
+CLASH = ("score", "times", "n_lines", "lang_pred", "n_removed", "nth", "text_hash", "bad_id", "class_id", "own", "w", "contaminated")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = table(spark, SF, "documents").limit(40)
+    docs = docs.union(docs.limit(3)).union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.union(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).union(docs.limit(2).withColumn("text", F.lit("")))
+    plain_docs, clash = stored(docs, "docs"), stored(docs.withColumns({c: F.concat(F.lit(c), F.col("source")) for c in CLASH}), "docs")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain_docs, clash = stored(stage(spark, plain_docs, SF), name), stored(stage(spark, clash, SF), name)
+        assert clash.columns == [*plain_docs.columns, *CLASH]
+        rows = clash.collect()
+        assert sorted(map(str, plain_docs.collect())) == sorted(str(type(r)(**{c: r[c] for c in plain_docs.columns})) for r in rows)
+        assert all(r[c] == c + r.source for r in rows for c in CLASH)
+
+
+def test_stages_on_nulls_empty_tables_and_without_labels(spark):
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None, None), (5, None, None, None, None), (6, "", None, None, 0)], docs.schema)
+    language_id, line_dedup, near_dedup, leaks, bpe = (stage for _, stage in corpus_pipeline.STAGES)
+    assert language_id(spark, nulls, SF).count() == 0
+    for stage in (line_dedup, near_dedup, leaks):
+        assert sorted(map(str, (r.doc_id for r in stage(spark, nulls, SF).collect()))) == ["5", "6", "None"]
+    assert sorted((str(r.doc_id), r.n_tokens) for r in bpe(spark, nulls, SF).collect()) == [("5", 0), ("6", 0), ("None", 0)]
+    unlabelled = docs.limit(20).withColumn("lang", F.lit(None).cast("string"))
+    assert language_id(spark, unlabelled, SF).count() == 20
