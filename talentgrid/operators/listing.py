@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talentgrid.functions.basics import any_of, non_empty
 from talentgrid.functions.candidate import range_label
+from talentgrid.session import cut_lineage
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -139,6 +140,49 @@ def page(df: DataFrame, number: int = 1, per_page: int = 10) -> DataFrame:
     return df.offset((max(number, 1) - 1) * per_page).limit(per_page)
 
 
+def page_after(df: DataFrame, column: str, after: tuple[Any, Any] | None = None, per_page: int = 10,
+               order: str = "desc") -> DataFrame:
+    """The page that follows the row with the value and id ``after`` (None: the first page).
+
+    The bound is a filter, so a page costs the same wherever it is: each task keeps ``per_page`` rows.  Nulls stand
+    where Spark sorts them: last when descending, first when ascending; ids break ties upwards.
+    """
+    c, i = F.col(column), F.col("id")
+    if after is not None:
+        value, last = after
+        if value is None:
+            later = (c.isNull() & (i > last)) if order == "desc" else (c.isNotNull() | (i > last))
+        else:
+            beyond = c < F.lit(value) if order == "desc" else c > F.lit(value)
+            later = beyond | ((c == F.lit(value)) & (i > last))
+            later = (later | c.isNull()) if order == "desc" else later
+        df = df.filter(later)
+    return df.orderBy(c.desc() if order == "desc" else c.asc(), i.asc()).limit(per_page)
+
+
+def page_at(df: DataFrame, column: str, number: int = 1, per_page: int = 10, order: str = "desc",
+            ranges: int = 200) -> tuple[DataFrame, int]:
+    """Page ``number`` (from 1) and the total number of rows, from one pass over sort key and id.
+
+    The keys are dealt to ``ranges`` ranges of the order, stored, and counted; only the ranges that the page lies in are
+    sorted, so no task holds all the rows before it.  ``id`` is unique.
+    """
+    sort = [F.col(column).desc() if order == "desc" else F.col(column).asc(), F.col("id").asc()]
+    keys = cut_lineage(df.select(column, "id").repartitionByRange(ranges, *sort).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r["_range"], r["count"]) for r in keys.groupBy("_range").count().collect())
+    begin = (max(number, 1) - 1) * per_page
+    before, chosen, seen = 0, [], 0
+    for part, size in sizes:
+        if seen + size <= begin:
+            before = seen + size
+        elif seen < begin + per_page:
+            chosen.append(part)
+        seen += size
+    near = keys.filter(F.col("_range").isin(chosen)).orderBy(*sort)
+    wanted = (near.offset(begin - before) if begin > before else near).limit(per_page).select("id")
+    return df.join(wanted, "id", "left_semi").orderBy(*sort), seen
+
+
 def total_count(df: DataFrame) -> DataFrame:
     """Number of rows after the filters, beside which a page is shown."""
     return df.agg(F.count(F.lit(1)).alias("total"))

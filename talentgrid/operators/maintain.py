@@ -1,7 +1,8 @@
 """Table maintenance as transforms: each returns the new state of the table.
 
-Parquet has no MERGE, so a sink writes the returned state to a new version of
-the table and the pointer is switched afterwards.
+Parquet has no MERGE.  The ``*_stored`` forms apply a transform to a keyed table:
+they rewrite the buckets of the changed keys and leave all other files alone, and
+readers see the old version until the new one is complete.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql.types import StructType
 from talentgrid import vocab
 from talentgrid.functions.basics import blank_to_null, truthy
 from talentgrid.functions.candidate import earliest_year, resolve_age
+from talentgrid.sources.keyed import KeyedTable
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
@@ -136,6 +138,32 @@ def upsert_extracted(resumes: DataFrame, extracted: DataFrame, as_of_year: int,
     return out.withColumns(sets).select(*resumes.columns)
 
 
+def insert_stored(table: KeyedTable, new: DataFrame, defaults: Mapping[str, Any] | None = None) -> None:
+    """Append ``new`` with its defaults; no file of the table is read or rewritten."""
+    table.append(insert_rows(table.read([]), new, defaults))
+
+
+def update_stored(table: KeyedTable, updates: DataFrame, **kw: Any) -> list[int]:
+    """``partial_update`` of a stored table by its key; returns the buckets rewritten."""
+    return table.merge(updates, lambda rows, new: drop_marks(partial_update(rows, new, table.key, **kw)))
+
+
+def update_resumes_stored(table: KeyedTable, updates: DataFrame, as_of_year: int, **kw: Any) -> list[int]:
+    """``update_resumes`` of stored résumés."""
+    return table.merge(updates, lambda rows, new: update_resumes(rows, new, as_of_year, **kw))
+
+
+def delete_stored(table: KeyedTable, ids: DataFrame) -> list[int]:
+    """Remove the listed keys; a bucket that loses its last row loses its files."""
+    gone = ids.select(F.col(ids.columns[0]).alias(table.key))
+    return table.merge(gone, lambda rows, new: delete_ids(rows, new, table.key)[0])
+
+
+def upsert_stored(table: KeyedTable, extracted: DataFrame, as_of_year: int, now: Column | None = None) -> list[int]:
+    """``upsert_extracted`` into stored résumés."""
+    return table.merge(extracted, lambda rows, new: upsert_extracted(rows, new, as_of_year, now))
+
+
 def apply_duplicates(resumes: DataFrame, best: DataFrame) -> DataFrame:
     """Set or clear the duplicate columns from ``best(id, duplicate_id, similarity)``."""
     b = best.select("id", F.struct("duplicate_id", "similarity").alias("_b"))

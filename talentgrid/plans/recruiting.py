@@ -12,9 +12,11 @@ from talentgrid.functions.basics import non_empty, strip_or_null
 from talentgrid.functions.status import interview_status
 from talentgrid.operators import funnel as fn, interviews as iv, listing as ls, maintain as mt
 from talentgrid.plans.fixtures import Fixtures
-from talentgrid.plans.registry import AS_OF_YEAR, query
+from talentgrid.plans.registry import AS_OF_YEAR, ORACLES, query
+from talentgrid.session import cut_lineage, shared_folder
 from talentgrid.sources import exports as ex
 from talentgrid.sources.documents import eligible
+from talentgrid.sources.keyed import KeyedTable, create
 
 START, END = "1996-01-01", "1998-06-30"
 
@@ -763,6 +765,62 @@ def _(f):
                       F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
+def _stored(f: Fixtures, name: str, rows: DataFrame) -> KeyedTable:
+    return create(rows, shared_folder(f.spark, name), "id", buckets=16)
+
+
+@query("stored_update", ORACLES["partial_update"])
+def _(f):
+    table = _stored(f, "stored-update", f.resumes)
+    mt.update_stored(table, _event_updates(f), order="event_id", touched_at=F.lit("2026-01-01").cast("timestamp"))
+    return table.read().select("id", "school", "major", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query("stored_delete", """
+SELECT id, file_name FROM resumes_fx WHERE id NOT IN (SELECT user_id FROM events)
+UNION ALL SELECT event_id + 5000000000, NULL FROM events""", ("resumes_fx",))
+def _(f):
+    table = _stored(f, "stored-delete", f.resumes)
+    mt.delete_stored(table, f.table("events").select("user_id"))
+    mt.insert_stored(table, f.table("events").select((F.col("event_id") + 5000000000).alias("id")), mt.new_resume_defaults())
+    return table.read().select("id", "file_name")
+
+
+_CHANGED = f"""h AS (SELECT user_id AS id, max(event_id) AS e FROM events GROUP BY 1),
+ b AS (SELECT r.id, CASE WHEN h.id IS NULL THEN birth_year WHEN e % 3 = 0 THEN NULL ELSE cast(1960 + e % 40 AS int) END AS birth_year,
+  h.id IS NOT NULL AS hit, age_from_resume FROM resumes_fx r LEFT JOIN h ON r.id = h.id)"""
+
+
+# a named birth year, also an emptied one, rederives the age; the age found in the résumé wins
+@query("update_resumes", f"""
+WITH {_CHANGED}
+SELECT id, birth_year, cast(CASE WHEN hit AND coalesce(age_from_resume, 0) <> 0 THEN age_from_resume
+  WHEN hit AND coalesce(birth_year, 0) <> 0 THEN {AS_OF_YEAR} - birth_year ELSE -1 END AS int) AS age FROM b""", ("resumes_fx",))
+def _(f):
+    table = _stored(f, "update-resumes", f.resumes.withColumn("age", F.lit(-1)))
+    e = F.col("event_id")
+    new = f.table("events").select(F.col("user_id").alias("id"), e, F.when(e % 3 != 0, (1960 + e % 40).cast("int")).alias("birth_year"),
+                                   F.array(F.lit("birth_year")).alias("present"))
+    mt.update_resumes_stored(table, new, AS_OF_YEAR, order="event_id")
+    return table.read().select("id", "birth_year", "age")
+
+
+# the hundredth page and the one after its last row, with the number of all rows
+_DEEP = """SELECT id, birth_year, total FROM (SELECT id, birth_year, count(*) OVER () AS total,
+ row_number() OVER (ORDER BY birth_year DESC NULLS LAST, id) AS rn FROM resumes_fx) x WHERE rn BETWEEN {0} AND {1}"""
+
+
+@query("deep_page", _DEEP.format("(SELECT count(*) FROM resumes_fx) // 20 * 10 + 1", "(SELECT count(*) FROM resumes_fx) // 20 * 10 + 20"), ("resumes_fx",))
+def _(f):
+    rows = f.resumes.select("id", "birth_year")
+    middle = rows.count() // 20 + 1
+    found, total = ls.page_at(rows, "birth_year", middle, 10)
+    found = cut_lineage(found)
+    last = found.orderBy(F.desc("birth_year"), "id").collect()[-1]
+    following = ls.page_after(rows, "birth_year", (last.birth_year, last.id), 10)
+    return found.unionByName(following).withColumn("total", F.lit(total).cast("long"))
+
+
 @query("delete_ids", """
 SELECT id, file_name FROM resumes_fx WHERE id NOT IN (SELECT user_id FROM events)""", ("resumes_fx",))
 def _(f):
