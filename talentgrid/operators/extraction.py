@@ -116,46 +116,44 @@ def name_expr(text: Column, kv: Column) -> Column:
 
 
 # --------------------------------------------------------------- gender, birth, age
-def gender_rules(text: Column, kv: Column) -> dict[str, Column]:
-    v, head = _key(kv, "性别"), F.substring(text, 1, 500)
+def gender_rules(text: Column, kv: Column, head_chars: int | None = None) -> dict[str, Column]:
+    """``head_chars`` may bound how far into the text the last rule looks."""
+    v, head = _key(kv, "性别"), text if head_chars is None else F.substring(text, 1, head_chars)
     man, woman = head.contains("男"), head.contains("女")
-    context = head.rlike(r"(?:男|女)(?:\s*[|｜]|\s+岁|\s+性)")
+    context = head.rlike(vocab.GENDER_CONTEXT)
     return {
         "key_value": F.when(v.contains("女"), "女").when(v.contains("男"), "男"),
-        "label": first_match(text, r"性别\s*[:：]?\s*(男|女)", 1),
+        "label": first_match(text, vocab.GENDER_LABEL, 1),
         "after_name": first_match(text, rf"{NAME}\s*(男|女)(?:\s*[|｜]\s*|\s+|\s*$)", 1),
-        "before_age": first_match(text, r"(男|女)\s*[|｜]\s*[0-9]+\s*岁", 1),
+        "before_age": first_match(text, vocab.GENDER_BEFORE_AGE, 1),
         "head": F.when(context & man & ~woman, "男").when(context & woman & ~man, "女"),
     }
 
 
-def gender_expr(text: Column, kv: Column) -> Column:
-    return _first(list(gender_rules(text, kv).values()))
+def gender_expr(text: Column, kv: Column, head_chars: int | None = None) -> Column:
+    # most texts name neither: they skip the patterns
+    return F.when(text.rlike("[男女]") | _key(kv, "性别").isNotNull(), _first(list(gender_rules(text, kv, head_chars).values())))
 
 
-# tried in this order; each names a year with what must follow it
-BIRTH_PATTERNS = [
-    r"(?:出生[年月日]*|生日)[：:]\s*([0-9]{4})",
-    r"([0-9]{4})年[0-9]{1,2}月[0-9]{0,2}日?",
-    r"([0-9]{4})年",
-    r"([0-9]{4})[年\-/][0-9]{1,2}",
-]
-
-
-def birth_year_rules(text: Column, kv: Column, as_of_year: int) -> dict[str, Column]:
+def birth_year_rules(text: Column, kv: Column, as_of_year: int, head_lines: int | None = None,
+                     head_chars: int | None = None) -> dict[str, Column]:
+    """``head_lines`` may bound the lines in which a birth word is looked for, ``head_chars`` the text in which a year without
+    one counts; inside that bound a birth word near a year outweighs a work word.  Elsewhere a year of 2000 or later
+    beside both counts only right after the birth word: it may be the year of a job."""
     def ok(y: Column, low: int = 1950) -> Column:
         y = y.try_cast("int")
         return F.when(y.between(low, as_of_year), y)
 
     year = "(?:19|20)[0-9]{2}"
     keyed = [ok(first_match(_key(kv, k), year)) for k in vocab.BIRTH_KEYS]
-    head = F.slice(F.split(text, "\n"), 1, 25)
+    lines = F.split(text, "\n")
+    head = lines if head_lines is None else F.slice(lines, 1, head_lines)
 
     def by_line(ls: Column) -> Column:
         hit = lambda l: contains_any(l, vocab.BIRTH_WORDS)
 
         def year_of(l: Column, i: Column) -> Column:
-            here = ok(first_match(l, r"(?:出生[年月日]*|生日)\s*[：:]?\s*([0-9]{4})", 1))
+            here = ok(first_match(l, vocab.BIRTH_LINE_YEAR, 1))
             below = F.coalesce(F.get(ls, i + 1), F.lit(""))
             calm = ~contains_any(below, vocab.BIRTH_WORK_WORDS + ["岗位", "职位"])
             fits = calm & (below.contains("年") | (F.length(below) <= 10))
@@ -170,25 +168,30 @@ def birth_year_rules(text: Column, kv: Column, as_of_year: int) -> dict[str, Col
                 around = F.substr(t, start, at - start + 50)
                 y = ok(F.regexp_extract(m, p, 1))
                 born = around.rlike("出生|生日")
+                named = F.concat(F.substr(t, start, at - start), F.regexp_extract(m, r"\A[^0-9]*", 0)).rlike(
+                    r"(?:出生(?:年份|日期|[年月日]*)|生日)\s*[：:]?\s*\z")
+                late = (y >= 2000) & contains_any(around, vocab.BIRTH_LATE_WORK_WORDS) & ~named
+                near = born if head_chars is not None and not whole else born & ~late
                 if whole:
-                    return F.when(born, y)
-                return F.when(born | ~contains_any(around, vocab.BIRTH_WORK_WORDS), y)
+                    return F.when(near, y)
+                return F.when(near | (~born & ~contains_any(around, vocab.BIRTH_WORK_WORDS)), y)
             return let(first_match(t, p), judge)
-        return _first([one(p) for p in BIRTH_PATTERNS])
+        # patterns that name the birth are not tried on other texts
+        rules = [F.when(t.rlike("出生|生日"), one(p)) if p[0] in "出生" else one(p) for p in vocab.BIRTH_PATTERNS]
+        return F.when(t.rlike(r"[0-9]{4}[年/\-]|(?:出生|生日)"), _first(rules))
 
-    no_work = F.regexp_replace(
-        text, r"[0-9]{4}[./-][0-9]{1,2}[./-]?[0-9]{0,2}\s*[-~至到]+\s*[0-9]{4}"
-        rf"|{year}\s+[一-龥]{{2,}}(?:公司|集团|企业)", "")
+    no_work = F.regexp_replace(text, f"{vocab.WORK_DATE_RANGE}|{vocab.WORK_YEAR_COMPANY}", "")
     return {
         "key_value": _first(keyed),
-        "birth_line": let(F.transform(head, _trim), by_line),
-        "head": let(F.substring(text, 1, 1500), lambda t: by_pattern(t, False)),
+        "birth_line": F.when(text.rlike("出生|生日"), let(F.transform(head, _trim), by_line)),
+        "head": let(text if head_chars is None else F.substring(text, 1, head_chars), lambda t: by_pattern(t, False)),
         "whole_text": F.when(text.rlike("出生|生日"), let(no_work, lambda t: by_pattern(t, True))),
     }
 
 
-def birth_year_expr(text: Column, kv: Column, as_of_year: int) -> Column:
-    return _first(list(birth_year_rules(text, kv, as_of_year).values()))
+def birth_year_expr(text: Column, kv: Column, as_of_year: int, head_lines: int | None = None,
+                    head_chars: int | None = None) -> Column:
+    return _first(list(birth_year_rules(text, kv, as_of_year, head_lines, head_chars).values()))
 
 
 def age_expr(text: Column, kv: Column, birth_year: Column, as_of_year: int) -> Column:
@@ -291,8 +294,10 @@ def _entry(s: Column) -> Column:
             rest(s.before, "\\A.*"), F.when(f.before.isNull(), names_position(s.before)),
             F.when(alone, rest(s.next, "\\A")), F.when(fits, below)), tidy_position)
         position = F.get(F.filter(positions, lambda p: p.isNotNull()), F.lit(0))
-        return F.struct(tidy_company(company).alias("company"), position.alias("position"),
-                        s.start.alias("start_year"), s.end.alias("end_year"))
+        # what stands behind a blank in a company is the position, if there is no other
+        return let(F.struct(tidy_company(company).alias("c"), position.alias("p")), lambda b: F.struct(
+            F.split(b.c, " ")[0].alias("company"), F.coalesce(b.p, first_match(b.c, r"\A[^ ]+ +(.*)\z", 1)).alias("position"),
+            s.start.alias("start_year"), s.end.alias("end_year")))
 
     return let(F.struct(
         first_match(s.after, _DOING, 1).alias("doing"),
@@ -302,40 +307,59 @@ def _entry(s: Column) -> Column:
 
 
 def merge_experiences(exps: Column) -> Column:
-    """One entry per (company, start): first one wins, gaps filled, latest end kept."""
-    def one(all_: Column) -> Column:
-        same = lambda e: lambda x: x.company.eqNullSafe(e.company) & x.start_year.eqNullSafe(
-            e.start_year)
-        keys = F.transform(all_, lambda e: F.struct(e.company, e.start_year))
-        firsts = F.filter(all_, lambda e, i: F.array_position(
-            keys, F.struct(e.company, e.start_year)) == i + 1)
-
-        def filled(e: Column) -> Column:
-            group = F.filter(all_, same(e))
-            named = F.filter(F.transform(group, lambda x: x.position), lambda p: p.isNotNull())
-            return F.struct(e.company.alias("company"), F.get(named, F.lit(0)).alias("position"),
-                            e.start_year.alias("start_year"),
-                            F.array_max(F.transform(group, lambda x: x.end_year)).alias("end_year"))
-        return F.transform(firsts, filled)
-    return let(exps, one)
+    """One entry per (company, start): first one wins, gaps filled, latest end kept.
+
+    Equal keys are brought together by a sort, so the work does not grow with the square of the list."""
+    def runs_of(rows: Column) -> Column:
+        same = lambda x, y: x.company.eqNullSafe(y.company) & x.start_year.eqNullSafe(y.start_year)
+        begins = F.filter(F.transform(rows, lambda x, k: F.when((k == 0) | ~same(x, F.get(rows, k - 1)), k)), lambda k: k.isNotNull())
+        return let(begins, lambda bs: F.transform(bs, lambda b, n: merged(F.slice(
+            rows, b + 1, F.coalesce(F.get(bs, n + 1), F.size(rows)) - b))))
+
+    def merged(run: Column) -> Column:
+        return let(run, lambda r: F.struct(
+            F.get(r, F.lit(0)).i.alias("i"), F.get(r, F.lit(0)).company.alias("company"),
+            F.get(F.filter(F.transform(r, lambda x: x.position), lambda p: p.isNotNull()), F.lit(0)).alias("position"),
+            F.get(r, F.lit(0)).start_year.alias("start_year"),
+            F.array_max(F.transform(r, lambda x: x.end_year)).alias("end_year")))
+
+    rows = F.array_sort(F.transform(exps, lambda e, i: F.struct(e.company, e.start_year, i.alias("i"), e.position, e.end_year)))
+    return F.transform(F.array_sort(let(rows, runs_of)), lambda e: F.struct(e.company, e.position, e.start_year, e.end_year))
 
 
 EXPERIENCES = "array<struct<company:string,position:string,start_year:int,end_year:int>>"
 
 
 def work_experience_expr(text: Column, as_of_year: int) -> Column:
-    """Experience list from lines with a time range or a leading year, newest first."""
+    """Experience list from lines with a time range or a leading year, newest first.
+
+    Lines under a work heading come before the others, so of two entries for one company and start theirs counts.
+    Each line is visited a fixed number of times."""
     year = lambda c: contact.year_in(c, as_of_year)
 
     def lines_of(ls: Column) -> Column:
-        spots = F.filter(ls, lambda c: c.hit & ~c.skip)
-        return F.flatten(F.transform(spots, lambda h: at(ls, h)))
+        # the nearest earlier line with a company or of schooling, and whether the last heading is of work
+        company = lambda c: F.when(~c.skip, first_match(c.l, f"({COMPANY})", 1))
+        spots = between(ls, lambda c: c.skip | c.named, lambda mark, c: F.when(
+            c.hit & ~c.skip, F.struct(c.i.alias("i"), c.l.alias("l"), company(mark).alias("seen"))))
+        work = between(ls, lambda c: c.heading.isNotNull(), lambda mark, c: F.coalesce(
+            c.heading == "work", (c.heading.isNull()) & (mark.heading == "work"), F.lit(False)))
+
+        def ordered(b: Column) -> Column:
+            rows = F.filter(F.transform(b.spots, lambda h, k: F.struct(h.alias("h"), F.get(b.work, k).alias("work"))), lambda x: x.h.isNotNull())
+            return let(rows, lambda r: F.concat(F.filter(r, lambda x: x.work), F.filter(r, lambda x: ~x.work)))
+        return F.flatten(F.transform(let(F.struct(spots.alias("spots"), work.alias("work")), ordered), lambda x: at(ls, x.h)))
+
+    def between(ls: Column, is_mark, value) -> Column:
+        """``value`` of the last mark before each line (its fields null without one) and the line, in order: every line is
+        visited once, in the stretch that ends with the next mark."""
+        none = F.get(ls, F.lit(-1))
+        marks = F.concat(F.array(F.struct(F.lit(-1).alias("i"), none.alias("c"))),
+                         F.transform(F.filter(ls, is_mark), lambda c: F.struct(c.i.alias("i"), c.alias("c"))))
+        return let(marks, lambda ms: F.flatten(F.transform(ms, lambda m, k: F.transform(
+            F.slice(ls, m.i + 2, F.coalesce(F.get(ms, k + 1).i, F.size(ls) - 1) - m.i), lambda c: value(m.c, c)))))
 
     def at(ls: Column, h: Column) -> Column:
-        # nearest earlier line with a company, unless schooling comes in between
-        marks = F.filter(F.slice(ls, 1, h.i), lambda c: c.skip | c.l.rlike(COMPANY_END))
-        seen = let(F.try_element_at(marks, F.lit(-1)), lambda m: F.when(
-            ~m.skip, first_match(m.l, f"({COMPANY})", 1)))
         below = lambda n: F.coalesce(F.get(ls, h.i + n).l, F.lit(""))
 
         def pieces(c: Column) -> Column:
@@ -358,7 +382,7 @@ def work_experience_expr(text: Column, as_of_year: int) -> Column:
 
         # a line that opens with a year and has no range stands for itself
         box = F.struct(h.l.alias("l"), below(1).alias("next"), below(2).alias("after_next"),
-                       seen.alias("seen"))
+                       h.seen.alias("seen"))
         alone = F.struct(h.l.alias("l"), F.lit("").alias("next"), F.lit("").alias("after_next"),
                          F.lit(None).cast("string").alias("seen"))
         return let(F.when(h.l.rlike(_RANGE), box).otherwise(alone), lambda c: F.transform(
@@ -367,7 +391,8 @@ def work_experience_expr(text: Column, as_of_year: int) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), _trim), lambda l: l != "")
     marked = F.transform(lines, lambda l, i: F.struct(
         i.alias("i"), l.alias("l"), l.rlike(f"{_RANGE}|{SINGLE_YEAR}").alias("hit"),
-        _skipped(l).alias("skip")))
+        _skipped(l).alias("skip"), l.rlike(COMPANY_END).alias("named"),
+        F.when(contains_any(l, vocab.WORK_HEADINGS), "work").when(contains_any(l, vocab.WORK_STOPS), "other").alias("heading")))
     found = F.filter(let(marked, lines_of), lambda e: e.company.isNotNull()
                      | e.start_year.isNotNull() | e.end_year.isNotNull())
     # most texts hold no year at all: they skip the line work

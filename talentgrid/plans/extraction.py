@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talentgrid import schemas
@@ -281,6 +283,46 @@ def _(f):
         F.size("work_experience").alias("n_jobs"))
 
 
+# ------------------------- long texts: what counts stands behind 60 lines, in each form a birth year is written in
+_BIRTH_FORMS = ["出生：{y}", "生日：{y}", "出生日期：{y}-05-06", "{y}年5月6日出生", "{y}年出生", "出生年月：{y}年", "出生 {y}-05-06",
+                "{y}/5月出生", "{y}-5出生", "出生地：武汉 2012年入职", "籍贯武汉 {y}年5月"]
+
+
+def long_texts(f: Fixtures) -> DataFrame:
+    """``id, text``: long résumés; the forms of the birth year take turns."""
+    y = (1965 + F.col("id") % 30).cast("string")
+    n = len(_BIRTH_FORMS)
+    forms = [F.concat(*[y if part == "{y}" else F.lit(part) for part in re.split(r"(\{y\})", form) if part]) for form in _BIRTH_FORMS]
+    birth = F.element_at(F.array(*forms), (F.col("id") % n + 1).cast("int"))
+    gender = F.when(F.col("id") % 2 == 0, "男").otherwise("女")
+    return f.resumes.select("id", F.concat(
+        F.lit("求职材料\n"), F.repeat(F.lit("性格开朗，善于沟通，愿意学习，能够适应新的环境\n"), 60),
+        birth, F.lit("\n爱好阅读\n本人 "), gender, F.lit(" |\n")).alias("text"))
+
+
+@query("extract_long_texts", f"""
+SELECT id, CASE WHEN id % 2 = 0 THEN '男' ELSE '女' END AS gender,
+ CASE WHEN id % {len(_BIRTH_FORMS)} <> 9 THEN cast(1965 + id % 30 AS int) END AS birth_year FROM resumes_fx""", ("resumes_fx",))
+def _(f):
+    t, kv = F.col("t"), F.col("kv")
+    return x.cleaned(long_texts(f), "id").select("id", x.gender_expr(t, kv).alias("gender"),
+                                                 x.birth_year_expr(t, kv, AS_OF_YEAR).alias("birth_year"))
+
+
+# a project line names the company and start of a work line before it: the work line's position counts, the latest end too
+@query("extract_sections", """
+SELECT id, '天成科技有限公司/会计/' || cast(2001 + id % 10 AS string) || '/' || cast(2015 + id % 5 AS string) ||
+ CASE WHEN id % 3 = 0 THEN '' ELSE ';海川贸易有限公司/销售经理/1999/2000' END AS jobs FROM resumes_fx""", ("resumes_fx",))
+def _(f):
+    start, end = (2001 + F.col("id") % 10).cast("string"), (2015 + F.col("id") % 5).cast("string")
+    text = F.concat(F.lit("项目经历\n"), start, F.lit(".03-2012.06 天成科技有限公司 工程师\n工作经历\n"), start, F.lit(".03-"), end,
+                    F.lit(".08 天成科技有限公司 会计\n"), F.when(F.col("id") % 3 == 0, "").otherwise("1999.01-2000.05 海川贸易有限公司 销售经理\n"),
+                    F.lit("教育背景\n1995-1999 武汉大学 本科 会计学"))
+    e = x.work_experience_expr(F.col("t"), AS_OF_YEAR)
+    jobs = F.transform(F.col("e"), lambda e: F.concat_ws("/", e.company, e.position, e.start_year.cast("string"), e.end_year.cast("string")))
+    return x.cleaned(f.resumes.select("id", text.alias("text")), "id").select("id", e.alias("e")).select("id", F.array_join(jobs, ";").alias("jobs"))
+
+
 @query("ages_derived", f"""
 SELECT id, cast(CASE WHEN birth_year IS NOT NULL THEN {AS_OF_YEAR} - birth_year END AS int) AS age FROM resumes_fx""",
        ("resumes_fx",))

@@ -77,6 +77,8 @@ SECTION_HEADINGS = [
     "教育经历", "教育背景", "培训经历", "证书", "技能特长",
 ]
 EDUCATION_HEADINGS = ["教育经历", "教育背景", "学历"]
+WORK_HEADINGS = ["工作经历", "工作经验", "职业经历", "任职经历", "工作履历"]
+WORK_STOPS = ["教育经历", "教育背景", "项目经历", "自我评价", "技能", "证书"]
 EDUCATION_STOPS = ["工作经历", "工作经验", "项目经历", "自我评价"]
 
 # --- fixed values: names ----------------------------------------------------
@@ -127,6 +129,27 @@ WORK_YEAR_WORDS = ["工作", "经历", "任职", "项目", "公司", "职业", "
 WORK_YEAR_SKIP = ["出生", "生日", "年龄"]
 BIRTH_WORDS = ["出生年月", "出生日期", "出生年份", "出生", "生日"]
 BIRTH_WORK_WORDS = ["工作", "经历", "经验", "任职", "就职", "入职", "公司", "集团", "企业"]
+# the words that rule out a year of 2000 or later although a birth word is near
+BIRTH_LATE_WORK_WORDS = ["工作", "经历", "经验", "任职", "就职", "入职"]
+# tried in this order; each names a year with what must stand beside it
+BIRTH_PATTERNS = [
+    r"出生[年月日]*[：:]\s*([0-9]{4})",
+    r"生日[：:]\s*([0-9]{4})",
+    r"出生[年月日]*[：:]\s*([0-9]{4})[年\-/]",
+    r"([0-9]{4})年[0-9]{1,2}月[0-9]{0,2}日?",
+    r"([0-9]{4})年",
+    r"出生[年月日]*[：:]\s*([0-9]{4})[年月]",
+    r"([0-9]{4})[年\-/][0-9]{1,2}[月\-/][0-9]{0,2}",
+    r"([0-9]{4})[年\-/][0-9]{1,2}月",
+    r"([0-9]{4})[年\-/][0-9]{1,2}",
+]
+BIRTH_LINE_YEAR = r"(?:出生[年月日]*|生日)\s*[：:]?\s*([0-9]{4})"
+WORK_DATE_RANGE = r"[0-9]{4}[./-][0-9]{1,2}[./-]?[0-9]{0,2}\s*[-~至到]+\s*[0-9]{4}"
+WORK_YEAR_COMPANY = r"(?:19|20)[0-9]{2}\s+[一-龥]{2,}(?:公司|集团|企业)"
+# gender beside an age or a bar
+GENDER_LABEL = r"性别\s*[:：]?\s*(男|女)"
+GENDER_BEFORE_AGE = r"(男|女)\s*[|｜]\s*[0-9]+\s*岁"
+GENDER_CONTEXT = r"(?:男|女)(?:\s*[|｜]|\s+岁|\s+性)"
 
 # --- fixed values: duplicate weights (sum 100) ------------------------------
 SIMILARITY_WEIGHTS = {
