@@ -25,15 +25,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(),
                  "edges")
-    seen = None
-    while True:
+    marked = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
+    seen = marked(now)
+    while seen[0]:
         both = now.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                             F.struct(F.col("m").alias("u"), "v"))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(_hook(large.distinct()), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.select(F.col("v").alias("node"), F.col("m").alias("component")).union(
-                now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
-        seen = mark
+        now, before = stored(_hook(large), "edges"), seen
+        seen = marked(now)
+        if seen == before:
+            break
+    return now.select(F.col("v").alias("node"), F.col("m").alias("component")).union(
+        now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())

@@ -14,11 +14,12 @@ ones miss less.
 No bucket is expanded into its pairs. Texts of the same words collapse first. Up to ``small`` members are paired with each
 other; in a larger bucket each member is paired with its hub, the member whose sketches are the most shared (for a text and
 its many copies that is the text). Members that their hub is no partner of, such as texts that hold one common passage, stay
-open: with all the other members of their buckets they go on to an exact prefix filter. K-mers are ordered by rarity among
-those texts, and two similar enough texts must share one of their n - ceil(t n) + 1 rarest. Where such a k-mer stands in
-that order bounds what two texts can still share, so a text leaves a bucket whose shortest text is too long for it; what
-stays is compared with hubs, the shortest texts first and ever more of them, but not with texts that links found so far have
-brought into the same component, until all that is left of a bucket is in one component or was open nowhere.
+open. What is left of the large buckets is cut by length, and a cut in which all are of one component, or none is open, goes.
+The other texts go on to an exact prefix filter. K-mers are ordered by rarity among those texts (by counts in a table of fixed
+size), and two similar enough texts must share one of their n - ceil(t n) + 1 rarest. Where such a k-mer stands in that order
+bounds what two texts can still share, so a text leaves a bucket whose shortest text is too long for it; what stays is
+compared with hubs, the shortest texts first and ever more of them, but not with texts that links found so far have brought
+into the same component, until all that is left of a bucket is in one component or was open nowhere.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from talentgrid.llm.common import Words, mix, small_enough, stored, text_steps
 from talentgrid.llm.components import components
 
 K, PICKS, SKETCHES, THRESHOLD, SMALL = 5, 4, 24, 0.8, 16
+#: Slots of the table that orders k-mers by rarity.
+RARITY_BITS = 20
 
 
 def labelled(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +97,30 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, picks: int, sketches: int
                 ["id", "norm", "n", "keys"])
 
 
-def _kmers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _rarity(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(slot, n): how many k-mers of a task's texts fall into each slot of the rarity table."""
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in text_steps(batch.column(1)):
+            h, _ = labelled(Words(data, offsets), k)
+            counts += np.bincount((h & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
+    slot = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, threshold: float, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, id, n, r): the rarest k-mers of each text, r the number of its k-mers from this one on."""
     for batch in batches:
         for i, j, data, offsets in text_steps(batch.column(1)):
             h, n = labelled(Words(data, offsets), k)
+            text = np.repeat(np.arange(j - i), n)
+            order = np.lexsort((h, counts[h & np.uint64(len(counts) - 1)], text))
+            rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            taken = rank < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[text]
+            rank, text = rank[taken], text[taken]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(i, j - i), pa.array(n, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(h.view(np.int64)))],
-                ["id", "n", "kmers"])
+                pa.array(h[order[taken]].view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(text)), pa.array(n[text]),
+                pa.array(n[text] - rank)], ["key", "id", "n", "r"])
 
 
 def common_in_order(x: np.ndarray, y: np.ndarray, threshold: float) -> int:
@@ -176,34 +195,58 @@ def _paired(rows: DataFrame, small: int, hubs: int, threshold: float) -> tuple[D
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = rows.join(sizes, "key")
     few = rows.filter(F.col("size") <= small)
-    large = rows.filter(F.col("size") > small).drop("size")
+    large = rows.filter(F.col("size") > small).drop("size") if hubs < small else rows.drop("size")
     named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "r", "open", "part")])
     able = lambda x, y: (F.col(f"open_{x}") | F.col(f"open_{y}")) & (F.col(f"part_{x}") != F.col(f"part_{y}")) & _able(
         threshold, F.col(f"n_{x}"), F.col(f"n_{y}"), F.col(f"r_{x}"), F.col(f"r_{y}"))
-    near = named(few, "a").join(named(few, "b"), "key").filter("id_a < id_b").filter(able("a", "b"))
     nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id"))
     top = named(large.withColumn("nth", nth).filter(F.col("nth") <= hubs), "h")
     members = large.join(top.select("key", F.col("id_h").alias("id")), ["key", "id"], "left_anti")
     far = named(large, "m").join(top, "key").filter("id_m <> id_h").filter(able("m", "h"))
     far = stored(far.select("key", F.col("id_m").alias("id"), F.col("id_h").alias("hub")), "hubs")
-    pairs = near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).union(far.select(F.least("id", "hub"), F.greatest("id", "hub")))
+    pairs = far.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    if hubs < small:  # else hubs are all that a small bucket has
+        near = named(few, "a").join(named(few, "b"), "key").filter("id_a < id_b").filter(able("a", "b"))
+        pairs = pairs.union(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     return pairs.distinct(), members, far
 
 
+def _labelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``label`` (node, component) after further stored ``links`` (a, b): only the components they touch are joined anew."""
+    if label is None:
+        return components(links)
+    if links.isEmpty():
+        return label
+    of = lambda x: label.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    merged = components(edges).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = label.join(merged, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    fresh = merged.join(label, F.col("old") == F.col("node"), "left_anti").select("old", "new")
+    return stored(moved.union(fresh), "labels")
+
+
 def _rare(texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(key, id, weight, n, r): the rarest k-mers of each text, enough for any two similar ones to share one; r counts the
-    k-mers from this one on. Rows that can have no partner in their bucket are left out."""
-    every = stored(texts.dropDuplicates(["id", "text"]).mapInArrow(partial(_kmers, k=k), "id long, n long, kmers array<long>"), "kmers").select(
-        "id", "n", F.explode("kmers").alias("key"))
-    common = every.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("texts", F.lit(1)), "key"))
-    rows = (every.join(common, "key", "left").withColumn("rank", rank)
-            .filter(F.col("rank") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).filter("texts > 1")
-            .select("key", "id", (-F.col("n")).alias("weight"), "n", (F.col("n") - F.col("rank") + 1).alias("r")))
+    """(key, id, weight, n, r): the rarest k-mers of each text, enough for any two similar ones to share one; those that two
+    texts have. Any order of k-mers will do, if it is the same for all texts; k-mers of one slot are ordered by their hash."""
+    texts = stored(texts.dropDuplicates(["id", "text"]), "left-over-texts")
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    seen = texts.mapInArrow(partial(_rarity, k=k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
+    rows = texts.mapInArrow(partial(_prefixes, k=k, threshold=threshold, counts=counts), "key long, id long, n long, r long")
     rows = stored(rows, "rare-kmers")
-    least = rows.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("members")).filter("members > 1")
-    return rows.join(least, "key").filter(F.col("r") * (1 + threshold) >= threshold * (F.col("n") + F.col("least")) - 1e-6).select(
-        "key", "id", "weight", "n", "r")
+    common = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    return rows.join(common, "key", "left_semi").select("key", "id", (-F.col("n")).alias("weight"), "n", "r")
+
+
+def _undecided(members: DataFrame, threshold: float) -> DataFrame:
+    """Of buckets with rows for (key, id, weight, n, r, open, part), each cut by length so that similar enough texts share a
+    cut: the rows of cuts with several parts and an open text, without those for which the shortest of their cut is too long."""
+    cut = F.floor(F.log("n") / (float(np.log(1 / threshold)) * (1 + 1e-9)) + 1e-9)
+    rows = members.withColumn("cut", F.explode(F.array(cut, cut + 1))).withColumn("key", F.xxhash64("key", "cut")).drop("cut")
+    cuts = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("open").alias("any"), F.min("n").alias("least"))
+    rows = rows.join(cuts.filter("p < q AND any").select("key", "least"), "key")
+    return rows.filter(F.col("r") * (1 + threshold) >= threshold * (F.col("n") + F.col("least")) - 1e-6).drop("least")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, picks: int = PICKS,
@@ -225,39 +268,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(keys.join(shared, "key"), "shared-sketches")
     rows = rows.drop("size").join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id").withColumns(
         {"r": F.col("n"), "open": F.lit(True), "part": F.col("id")})
-    links, tried, hubs, exact = [], [], 1, False
+    tried, hubs, exact, label = [], 1, False, None
     while True:
         pairs, members, far = _paired(rows, small, hubs, threshold)
-        for old in tried:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        links.append(stored(aligned_pairs(pairs, texts, k, threshold), "links"))
-        tried.append(pairs)
+        if label is None or not pairs.isEmpty():
+            links = stored(aligned_pairs(pairs, texts, k, threshold), "links")
+            label = _labelled(label, links)
+            tried.append(pairs)
         if not exact:
-            known_links = links[0].select(F.col("a").alias("id"), F.col("b").alias("hub"))
+            known_links = links.select(F.col("a").alias("id"), F.col("b").alias("hub"))
             known_links = known_links.union(known_links.select("hub", "id"))
             taken = far.join(known_links, ["id", "hub"]).select("key", "id", F.lit(True).alias("taken")).distinct()
             members = members.join(taken, ["key", "id"], "left").withColumn("open", F.col("taken").isNull()).drop("taken")
-            members = stored(members.join(members.filter("open").select("key").distinct(), "key", "left_semi"), "left-over")
-        else:
-            members = stored(members, "left-over")
-        if members.isEmpty():
-            break
-        label = components(reduce(DataFrame.union, links).select("a", "b"))
         parts = lambda df: df.drop("part").join(label, F.col("id") == F.col("node"), "left").withColumn(
             "part", F.coalesce("component", "id")).drop("node", "component")
-        if exact:
-            members = stored(parts(members), "left-over")
-        else:
-            some = stored(members.groupBy("id").agg(F.max("open").alias("open")), "left-over-texts")
-            members = stored(parts(_rare(_texts_of(texts, some.select("id")), k, threshold).join(some, "id")), "left-over")
-        mixed = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("open").alias("any")).filter(
-            "p < q AND any").select("key")
-        rows = stored(members.join(mixed, "key", "left_semi"), "left-over")
+        rows = stored(_undecided(parts(members), threshold), "left-over")
+        if not exact:
+            some = stored(rows.groupBy("id").agg(F.max("open").alias("open")), "left-over-ids")
+            if some.isEmpty():
+                break
+            rows = stored(_undecided(parts(_rare(_texts_of(texts, some.select("id")), k, threshold).join(some, "id")), threshold), "left-over")
         if rows.isEmpty():
             break
-        hubs, exact = hubs * 8, True
-    label = components(reduce(DataFrame.union, links).select("a", "b"))
+        hubs, exact = 64 if not exact else hubs * 16, True
     classes = first.join(label, F.col("rep") == F.col("node"), "left").select(
         "norm", F.coalesce("component", "rep").alias("least"))
     return (made.select("id", "norm").join(classes, "norm", "left")
