@@ -101,7 +101,8 @@ def clean_resume_text(c: Column, normalized: bool = False) -> Column:
     ]
     for pattern, to in rejoin:
         c = F.regexp_replace(c, pattern, to)
-    c = F.regexp_replace(c, rf"\s*+({alternation(vocab.SECTION_HEADINGS)})", "\n$1")
+    heads = "".join(dict.fromkeys(h[0] for h in vocab.SECTION_HEADINGS))  # a look at one character spares most places the list
+    c = F.regexp_replace(c, rf"\s*+(?=[{heads}])({alternation(vocab.SECTION_HEADINGS)})", "\n$1")
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n+", "\n")
     return strip_ws(c)
 

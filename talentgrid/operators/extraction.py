@@ -78,7 +78,7 @@ def _opening_name(text: Column) -> Column:
     fits = lambda n: F.length(n).between(2, 6) & ~n.isin(vocab.NOT_A_NAME)
     alone = F.filter(F.transform(F.filter(F.split(text, "\n"), lambda l: ~l.rlike(f"{stops}|城市|薪资")), chinese), fits)
     # a run of characters that no label stands within ten characters of, on either side
-    clear = F.regexp_replace(text, rf"(?s).{{0,10}}(?:{stops}).{{0,10}}", "\n")
+    clear = F.when(text.rlike(stops), F.regexp_replace(text, rf"(?s).{{0,10}}(?:{stops}).{{0,10}}", "\n")).otherwise(text)
     runs = F.filter(F.regexp_extract_all(clear, F.lit("([一-龥]{2,})"), F.lit(1)), lambda r: ~r.isin(vocab.NOT_A_NAME))
     return F.coalesce(F.get(alone, F.lit(0)), F.substring(F.get(runs, F.lit(0)), 1, 2))
 
@@ -88,7 +88,10 @@ def name_rules(text: Column, kv: Column, near_start: int | None = None) -> dict[
     mail, mobile = contact.EMAIL_SCAN, r"(?<![0-9])1[3-9][0-9]{9}(?![0-9])"
     labelled = F.regexp_replace(_key(kv, "姓名"), "[^一-龥A-Za-z·• ]", "")
     alias = first_match(text, rf"(?:姓名|中文名|中文姓名|英文姓名|英文)\s*[:：]?\s*({NAME})", 1)
-    titled = first_match(text, rf"(?U)({NAME})\s*(?:先生|女士|男|女)\b", 1)
+    # a name ends right before a title, so the costly pattern begins a few characters ahead of the first one
+    before = F.length(F.regexp_extract(text, r"(?sU)\A(.*?)(?:先生|女士|男|女)\b", 1))
+    titled = F.when(text.rlike(r"(?U)(?:先生|女士|男|女)\b"), first_match(
+        F.substr(text, F.greatest(before - 40, F.lit(1))), rf"(?U)({NAME})\s*(?:先生|女士|男|女)\b", 1))
     mailed = text.contains("@")
     after_mail = F.when(mailed, first_match(text, rf"(?s)(?:{mail})(.{{0,30}})", 1))
     squeezed = F.filter(F.transform(F.split(text, "\n"), lambda l: F.struct(
@@ -427,8 +430,8 @@ def _major_in(l: Column) -> Column:
     """Major named on a line by a label before or after it."""
     found = F.transform(F.array(
         first_match(l, r"(?:专业|主修|方向)[：:]\s*([一-龥A-Za-z]{2,20})", 1),
-        first_match(l, r"([一-龥]{2,20}?)\s*专业", 1)), edu.clean_major)
-    return F.get(F.filter(found, lambda m: m.isNotNull()), F.lit(0))
+        F.when(l.contains("专业"), first_match(l, r"([一-龥]{2,20}?)\s*专业", 1))), edu.clean_major)
+    return F.when(l.rlike("专业|主修|方向"), F.get(F.filter(found, lambda m: m.isNotNull()), F.lit(0)))
 
 
 def _dated_entries(sect: Column, as_of_year: int) -> Column:
@@ -479,7 +482,8 @@ def _school_entries(lines: Column) -> Column:
                 F.coalesce(degree, some(b.near, lambda n: n.level)).alias("level"),
                 F.coalesce(marked, F.when(degree.isNotNull(), plain),
                            some(b.near, lambda n: n.major)).alias("major"))
-        rows = F.transform(ls, lambda l, i: F.when(l.rlike(edu.SCHOOL), entry(l, i)))
+        ends = alternation(vocab.SCHOOL_ENDINGS)
+        rows = F.transform(ls, lambda l, i: F.when(l.rlike(ends) & l.rlike(edu.SCHOOL), entry(l, i)))
         return F.filter(rows, lambda e: e.school.isNotNull())
     return let(lines, of)
 
@@ -491,16 +495,16 @@ def education_expr(text: Column, kv: Column, as_of_year: int) -> Column:
     level = F.coalesce(level, F.when(text.contains("职高"), "职高"))
     kv_school = blank_to_null(edu.clean_school(F.coalesce(*[_key(kv, k) for k in vocab.SCHOOL_KEYS])))
     kv_major = edu.clean_major(_key(kv, "专业"))
-    # only texts that name a school at all are looked at line by line
-    schooled = text.rlike(edu.SCHOOL)
+    # only texts that name a school at all are looked at line by line; the cheap test goes first
+    schooled = text.rlike(alternation(vocab.SCHOOL_ENDINGS)) & text.rlike(edu.SCHOOL)
     lines = F.filter(F.transform(F.split(text, "\n"), _trim), lambda l: l != "")
 
     def collect(sect: Column) -> Column:
         return F.struct(
             level.alias("level"), kv_school.alias("kv_school"), kv_major.alias("kv_major"),
             F.when(sect.isNotNull(), best_education(_dated_entries(sect, as_of_year), "end")).alias("dated"),
-            first_match(sect, edu.SCHOOL).alias("sect_school"),
-            first_match(text, edu.SCHOOL).alias("text_school"),
+            F.when(schooled, first_match(sect, edu.SCHOOL)).alias("sect_school"),
+            F.when(schooled, first_match(text, edu.SCHOOL)).alias("text_school"),
             _major_in(sect).alias("sect_major"), _major_in(text).alias("text_major"),
             F.when(schooled, best_education(_school_entries(lines), "level")).alias("best"))
 
