@@ -417,20 +417,22 @@ def _(f):
 WITH base AS (SELECT *, {STATUS} AS status0 FROM interviews_fx),
  tok AS (SELECT token, min(id) AS id FROM (SELECT id, round1_time AS token FROM base WHERE coalesce(round1_time,'') <> '') x GROUP BY 1),
  upd AS (SELECT id, max(token) AS token FROM tok GROUP BY 1),
- applied AS (SELECT b.* EXCLUDE (round1_result), CASE WHEN u.id IS NOT NULL THEN '未通过' ELSE round1_result END AS round1_result,
-   u.id IS NOT NULL AS hit FROM base b LEFT JOIN upd u ON b.id = u.id)
-SELECT id, round1_result, CASE WHEN hit THEN {STATUS} ELSE status0 END AS status FROM applied
+ applied AS (SELECT b.* EXCLUDE (round1_result, round2_result, round3_result),
+   CASE WHEN u.id IS NOT NULL THEN '未通过' ELSE round1_result END AS round1_result,
+   CASE WHEN b.id % 3 = 0 THEN '通过' ELSE round2_result END AS round2_result,
+   CASE WHEN b.id % 5 = 0 THEN '未通过' ELSE round3_result END AS round3_result,
+   u.id IS NOT NULL OR b.id % 3 = 0 OR b.id % 5 = 0 AS hit FROM base b LEFT JOIN upd u ON b.id = u.id)
+SELECT id, round1_result, round2_result, round3_result, CASE WHEN hit THEN {STATUS} ELSE status0 END AS status FROM applied
 """, ("interviews_fx",))
 def _(f):
+    token = lambda k, m: F.when(F.col("id") % m == 0, F.concat(F.lit(f"r{k}-"), F.col("id").cast("string")))
     base = with_status(f).withColumns({
-        "round1_comment_token": F.col("round1_time"),
-        "round2_comment_token": F.lit(None).cast("string"),
-        "round3_comment_token": F.lit(None).cast("string")})
-    subs = f.interviews.select(F.col("round1_time").alias("token")).filter(
-        non_empty(F.col("token"))).distinct().select(
-        "token", F.lit("lee").alias("interviewer"), F.col("token").alias("time"),
-        F.lit(" 未通过 ").alias("result"), F.lit("").alias("comment"))
-    return iv.submit_rounds(base, subs).select("id", "round1_result", "status")
+        "round1_comment_token": F.col("round1_time"), "round2_comment_token": token(2, 3), "round3_comment_token": token(3, 5)})
+    answers = {"round1_comment_token": " 未通过 ", "round2_comment_token": "通过", "round3_comment_token": "未通过"}
+    tokens = base.select(F.explode(F.array(*[F.struct(F.col(c).alias("token"), F.lit(a).alias("result")) for c, a in answers.items()])).alias("s"))
+    subs = tokens.select("s.*").filter(non_empty(F.col("token"))).distinct().select(
+        "token", F.lit("lee").alias("interviewer"), F.col("token").alias("time"), "result", F.lit("").alias("comment"))
+    return iv.submit_rounds(base, subs).select("id", "round1_result", "round2_result", "round3_result", "status")
 
 
 # --------------------------------------------------------------- scalars

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentgrid.functions import contact, education, text as tx
+from talentgrid.operators.lines import document_lines, with_neighbours
 from talentgrid.plans.fixtures import duckdb_ctes
 from talentgrid.plans.registry import AS_OF_YEAR, query
 
@@ -279,3 +280,15 @@ def _(f):
 @query("clean_document_text_cjk", f"WITH {_CV} SELECT doc_id, {clean_sql('text')} AS text FROM documents", ("cv_fx",))
 def _(f):
     return _cv(f).select("doc_id", tx.clean_document_text(F.col("text")).alias("text"))
+
+
+# the lines of each document as rows, each with two lines on either side
+@query("line_neighbours", """
+WITH l AS (SELECT doc_id, generate_subscripts(lines, 1) - 1 AS line_no, unnest(lines) AS line
+ FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM documents) x)
+SELECT doc_id, cast(line_no AS int) AS line_no, md5(line) AS line,
+ md5(lag(line, 1) OVER w) AS prev1, md5(lag(line, 2) OVER w) AS prev2, md5(lead(line, 1) OVER w) AS next1, md5(lead(line, 2) OVER w) AS next2
+FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)""")
+def _(f):
+    found = with_neighbours(document_lines(f.documents), 2)
+    return found.select("doc_id", "line_no", *[F.md5(F.col(c).cast("binary")).alias(c) for c in ("line", "prev1", "prev2", "next1", "next2")])
