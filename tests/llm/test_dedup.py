@@ -123,3 +123,36 @@ def test_near_duplicates_in_chains_of_revisions(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = {r.doc_id: r.class_id for r in near_duplicates(df.union(df.limit(50)), small=2).collect()}
     assert got == plain.near_classes(texts)
+
+
+def near(x, y, k=5):
+    """Jaccard similarity of two passages' shingles."""
+    a, b = ({tuple(w[i:i + k]) for i in range(len(w) - k + 1)} for w in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_near_passages_inside_longer_lines_are_found(docs_of):
+    """Recall of planted passages with changed, missing or added words that brute force calls near; the rest stays alone."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    rows, planted = [], set()
+    for n in range(150):
+        length = rng.choice([52, 60, 80, 120])
+        one = words(length)
+        two = list(one)
+        for _ in range(1 if length < 100 else 2):
+            at = rng.randrange(6, len(two) - 6)
+            two[at:at + rng.randrange(2)] = rng.choice([[], ["changed"], ["put", "in"]])
+        for i, passage in ((2 * n, one), (2 * n + 1, two)):
+            rows.append((i, " ".join(words(rng.randrange(30, 150)) + passage + words(rng.randrange(30, 150)))))
+        if near(one, two) >= 0.8 and one != two:
+            planted |= {2 * n, 2 * n + 1}
+    clean = [(1000 + n, " ".join(words(200))) for n in range(100)]
+    found = repeated_passages(docs_of(rows + clean)).collect()
+    ids = {r.doc_id for r in found}
+    assert len(planted) > 200 and len(ids & planted) >= 0.95 * len(planted) and not ids & {i for i, _ in clean}
+    texts = {i: t.split() for i, t in rows}
+    for r in found:  # what is listed is similar, and ends with the passage
+        x, y = texts[r.doc_id][r.begin:r.end], texts[r.other]
+        assert r.end - r.begin >= 50 and r.doc_id // 2 == r.other // 2
+        assert max(near(x, y[r.other_begin:r.other_begin + n]) for n in range(len(x) - 4, len(x) + 5)) >= 0.8
