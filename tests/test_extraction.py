@@ -142,3 +142,16 @@ def test_reextract(spark):
     assert (r[2]["name"], r[2].gender, r[2].parse_status) == ("文件名", "女", "success")
     assert [(r[i]["name"], r[i].parse_status, r[i].error_message) for i in (3, 4)] == [
         ("丙", "failed", "坏"), ("丁", "failed", "文件不存在")]
+
+
+def test_line_work_is_linear(spark):
+    """Twenty thousand lines, each tenth dated: the company seen last and equal entries are not searched for again and again."""
+    import time
+    lines = []
+    for n in range(20000):
+        lines.append(f"{1980 + n % 40}.03-{1981 + n % 40}.06" if n % 10 == 5 else f"甲乙{n // 10 % 50}科技有限公司" if n % 10 == 0 else "日常沟通记录")
+    begin = time.time()
+    got = experiences(spark, "\n".join(lines))
+    assert time.time() - begin < 60
+    # the range stands alone on its line: the company is that of the last company line
+    assert {(g[0], g[2]) for g in got} == {(f"甲乙{n // 10 % 50}科技有限公司", 1980 + n % 40) for n in range(5, 20000, 10)}
