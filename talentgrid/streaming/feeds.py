@@ -151,7 +151,7 @@ def daily_funnel_tables(events: DataFrame, out_path: str, ckpt: str, late: str =
         if batch_id > 0:
             earlier = spark.read.schema(_BATCHES).parquet(f"{out_path}/batches")
             newest = earlier.filter(F.col("batch") < batch_id).agg(F.max("newest").alias("t")).first().t
-        over = F.window("ts", "1 day").getField("end")
+        over = F.timestamp_seconds((F.floor(F.unix_timestamp("ts") / 86400) + 1) * 86400)  # a window would drop rows without a time
         fits = F.col("ts").isNotNull()
         if newest is not None:
             fits &= over > F.lit(newest) - F.expr(f"INTERVAL {late}")
