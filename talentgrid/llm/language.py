@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentgrid.llm.common import text_steps
+from talentgrid.llm.common import small_enough, stored, text_steps
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: Bounds of the training sample: documents of each language, windows of each document, and languages.
@@ -129,7 +129,8 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id"))).filter(F.col("text").rlike(r"\p{L}"))
     spare = F.greatest(F.length("text") - WINDOW, F.lit(0))
     cuts = [F.substring(F.col("text"), (F.floor(spare * i / max(1, SAMPLE_WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("docs")).withColumnRenamed("lang", "own_lang")
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("docs")).withColumnRenamed("lang", "own_lang"), "languages")
+    sizes = F.broadcast(sizes) if small_enough(sizes, F.octet_length("own_lang") + 16) else sizes
     share = (F.xxhash64("doc_id") / 2.0**64 + 0.5) * F.col("docs")
     rows = rows.join(sizes, F.col("lang") == F.col("own_lang")).filter(share <= SAMPLE_DOCS * 1.5 + 100)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
