@@ -190,12 +190,10 @@ def _able(threshold: float, n: Column, m: Column, r: Column, q: Column) -> Colum
 
 
 def _paired(rows: DataFrame, small: int, hubs: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of buckets (key, id, weight, n, r, open, part): candidate pairs (a, b) of two parts, one of them open; the members of
+    """Of buckets (key, id, weight, n, r, open, part, size) of two texts or more (``size`` is not asked for once there are more
+    hubs than ``small``): candidate pairs (a, b) of two parts, one of them open; the members of
     the large buckets without their hubs; and (key, id, hub) of the members and hubs paired."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = rows.join(sizes, "key")
-    few = rows.filter(F.col("size") <= small)
-    large = rows.filter(F.col("size") > small).drop("size") if hubs < small else rows.drop("size")
+    large = rows.filter(F.col("size") > small).drop("size") if hubs < small else rows
     named = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "r", "open", "part")])
     able = lambda x, y: (F.col(f"open_{x}") | F.col(f"open_{y}")) & (F.col(f"part_{x}") != F.col(f"part_{y}")) & _able(
         threshold, F.col(f"n_{x}"), F.col(f"n_{y}"), F.col(f"r_{x}"), F.col(f"r_{y}"))
@@ -206,6 +204,7 @@ def _paired(rows: DataFrame, small: int, hubs: int, threshold: float) -> tuple[D
     far = stored(far.select("key", F.col("id_m").alias("id"), F.col("id_h").alias("hub")), "hubs")
     pairs = far.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     if hubs < small:  # else hubs are all that a small bucket has
+        few = rows.filter(F.col("size") <= small)
         near = named(few, "a").join(named(few, "b"), "key").filter("id_a < id_b").filter(able("a", "b"))
         pairs = pairs.union(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     return pairs.distinct(), members, far
@@ -243,10 +242,11 @@ def _undecided(members: DataFrame, threshold: float) -> DataFrame:
     """Of buckets with rows for (key, id, weight, n, r, open, part), each cut by length so that similar enough texts share a
     cut: the rows of cuts with several parts and an open text, without those for which the shortest of their cut is too long."""
     cut = F.floor(F.log("n") / (float(np.log(1 / threshold)) * (1 + 1e-9)) + 1e-9)
-    rows = members.withColumn("cut", F.explode(F.array(cut, cut + 1))).withColumn("key", F.xxhash64("key", "cut")).drop("cut")
-    cuts = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("open").alias("any"), F.min("n").alias("least"))
-    rows = rows.join(cuts.filter("p < q AND any").select("key", "least"), "key")
-    return rows.filter(F.col("r") * (1 + threshold) >= threshold * (F.col("n") + F.col("least")) - 1e-6).drop("least")
+    rows = members.withColumn("cut", F.explode(F.array(cut, cut + 1))).withColumn("cut", F.xxhash64("key", "cut")).drop("key")
+    cuts = rows.groupBy("cut").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.max("open").alias("any"), F.min("n").alias("least"))
+    cuts = cuts.filter("p < q AND any").select(F.col("cut").alias("mixed"), "least")
+    able = F.col("r") * (1 + threshold) >= threshold * (F.col("n") + F.col("least")) - 1e-6
+    return rows.join(cuts, (F.col("cut") == F.col("mixed")) & able, "left_semi").withColumnRenamed("cut", "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, picks: int = PICKS,
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = owners.select("id", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = stored(keys.join(shared, "key"), "shared-sketches")
-    rows = rows.drop("size").join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id").withColumns(
+    rows = rows.join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id").withColumns(
         {"r": F.col("n"), "open": F.lit(True), "part": F.col("id")})
     tried, hubs, exact, label = [], 1, False, None
     while True:
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = stored(_undecided(parts(_rare(_texts_of(texts, some.select("id")), k, threshold).join(some, "id")), threshold), "left-over")
         if rows.isEmpty():
             break
-        hubs, exact = 64 if not exact else hubs * 16, True
+        hubs, exact = max(64, small) if not exact else hubs * 16, True
     classes = first.join(label, F.col("rep") == F.col("node"), "left").select(
         "norm", F.coalesce("component", "rep").alias("least"))
     return (made.select("id", "norm").join(classes, "norm", "left")
