@@ -155,3 +155,13 @@ def test_line_work_is_linear(spark):
     assert time.time() - begin < 60
     # the range stands alone on its line: the company is that of the last company line
     assert {(g[0], g[2]) for g in got} == {(f"甲乙{n // 10 % 50}科技有限公司", 1980 + n % 40) for n in range(5, 20000, 10)}
+
+
+def test_texts_of_one_small_file_are_dealt(spark, fx):
+    from talentgrid.plans import load_all
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = spark.createDataFrame([(i, RESUME) for i in range(40)], "id long, text string").coalesce(1)
+    assert x.extract_all(one, 2026).rdd.getNumPartitions() == tasks > 1
+    for name in ("extract_labelled", "extract_cv", "extract_education", "extract_long_texts"):
+        counts = load_all().QUERIES[name](spark, fx.sf_dir).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert len(counts) == tasks and max(counts) < 1.2 * sum(counts) / tasks, (name, counts)
