@@ -143,3 +143,11 @@ def test_pushdown_and_pruning(spark, tmp_path, fx):
     df = ls.filter_eq(tables.load_table(spark, "resumes", path), gender="女").select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint,gender:string>" in plan and "EqualTo(gender,女)" in plan
+
+
+def test_json_fields_are_read_in_one_pass(spark):
+    from talentgrid.plans.extraction import _json_fields
+    rows = spark.createDataFrame([(1, '{"a":"x\\"y","b":7,"c":null}'), (2, '{"b":"","a":"姓名"}'), (3, None)], "id int, json string")
+    out = _json_fields(rows, ["a", "b", "c"])
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [(1, 'x"y', "7", None), (2, "姓名", "", None), (3, None, None, None)]
+    assert "get_json_object" not in out._jdf.queryExecution().optimizedPlan().toString()
