@@ -109,7 +109,7 @@ def _rarity(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, threshold: float, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, id, n, r): the rarest k-mers of each text, r the number of its k-mers from this one on."""
+    """(key, id, n, r, open): the rarest k-mers of each text (id, text, open), r the number of its k-mers from this one on."""
     for batch in batches:
         for i, j, data, offsets in text_steps(batch.column(1)):
             h, n = labelled(Words(data, offsets), k)
@@ -118,9 +118,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, threshold: float, count
             rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             taken = rank < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[text]
             rank, text = rank[taken], text[taken]
+            own, is_open = (batch.column(c).slice(i, j - i).take(pa.array(text)) for c in (0, 2))
             yield pa.RecordBatch.from_arrays([
-                pa.array(h[order[taken]].view(np.int64)), batch.column(0).slice(i, j - i).take(pa.array(text)), pa.array(n[text]),
-                pa.array(n[text] - rank)], ["key", "id", "n", "r"])
+                pa.array(h[order[taken]].view(np.int64)), own, pa.array(n[text]), pa.array(n[text] - rank), is_open],
+                ["key", "id", "n", "r", "open"])
 
 
 def common_in_order(x: np.ndarray, y: np.ndarray, threshold: float) -> int:
@@ -170,8 +171,9 @@ def _align(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Itera
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of stored ``ids``; few enough ids go to the texts, so that other texts are not shuffled."""
-    return texts.join(F.broadcast(ids) if small_enough(ids, F.lit(8)) else ids, "id", "left_semi")
+    """The rows of stored, distinct ``ids`` with their further columns; few enough ids go to the texts, so that other texts are
+    not shuffled."""
+    return texts.join(F.broadcast(ids) if small_enough(ids, F.lit(8 * len(ids.columns))) else ids, "id")
 
 
 def aligned_pairs(pairs: DataFrame, texts: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
@@ -226,16 +228,18 @@ def _labelled(label: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _rare(texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(key, id, weight, n, r): the rarest k-mers of each text, enough for any two similar ones to share one; those that two
-    texts have. Any order of k-mers will do, if it is the same for all texts; k-mers of one slot are ordered by their hash."""
+    """(key, id, weight, n, r, open): the rarest k-mers of each text (id, text, open), enough for any two similar ones to share
+    one; those that two texts have. Any order of k-mers will do, if it is the same for all texts; k-mers of one slot are ordered
+    by their hash."""
     texts = stored(texts.dropDuplicates(["id", "text"]), "left-over-texts")
     counts = np.zeros(1 << RARITY_BITS, np.int64)
     seen = texts.mapInArrow(partial(_rarity, k=k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[seen["slot"].to_numpy()] = seen["n"].to_numpy()
-    rows = texts.mapInArrow(partial(_prefixes, k=k, threshold=threshold, counts=counts), "key long, id long, n long, r long")
+    rows = texts.mapInArrow(partial(_prefixes, k=k, threshold=threshold, counts=counts),
+                            "key long, id long, n long, r long, open boolean")
     rows = stored(rows, "rare-kmers")
     common = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    return rows.join(common, "key", "left_semi").select("key", "id", (-F.col("n")).alias("weight"), "n", "r")
+    return rows.join(common, "key", "left_semi").select("key", "id", (-F.col("n")).alias("weight"), "n", "r", "open")
 
 
 def _undecided(members: DataFrame, threshold: float) -> DataFrame:
@@ -266,8 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = owners.select("id", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     rows = stored(keys.join(shared, "key"), "shared-sketches")
-    rows = rows.join(rows.groupBy("id").agg(F.sum("size").alias("weight")), "id").withColumns(
-        {"r": F.col("n"), "open": F.lit(True), "part": F.col("id")})
+    rows = rows.withColumns({"weight": F.sum("size").over(Window.partitionBy("id")),  # of one text's sketches
+                             "r": F.col("n"), "open": F.lit(True), "part": F.col("id")})
     tried, hubs, exact, label = [], 1, False, None
     while True:
         pairs, members, far = _paired(rows, small, hubs, threshold)
@@ -290,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             some = stored(rows.groupBy("id").agg(F.max("open").alias("open")), "left-over-ids")
             if some.isEmpty():
                 break
-            rows = stored(_undecided(parts(_rare(_texts_of(texts, some.select("id")), k, threshold).join(some, "id")), threshold), "left-over")
+            rows = stored(_undecided(parts(_rare(_texts_of(texts, some), k, threshold)), threshold), "left-over")
         if rows.isEmpty():
             break
         hubs, exact = max(64, small) if not exact else hubs * 16, True

@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 
+from talentgrid.llm import near_dedup
 from talentgrid.llm.components import components
 from talentgrid.llm.near_dedup import near_duplicates
 from talentgrid.llm.passages import repeated_passages
@@ -37,6 +39,20 @@ def test_near_duplicates_are_those_of_all_pairs(spark, texts, small):
     assert got == plain.near_classes(texts)
 
 
+def test_rows_of_sketches_and_rare_kmers_are_not_joined_by_text(spark, texts, monkeypatch):
+    plans, store = [], near_dedup.stored
+
+    def seen(df, name):
+        if name in ("hubs", "pairs", "left-over"):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(near_dedup, "stored", seen)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert near_duplicates(df, small=2).count() == len(texts)
+    assert len(plans) > 4 and not [p for p in plans if re.search(r"Join Inner, \(id#\d+L? = id#", p)]
+
+
 def test_near_duplicates_edge_cases(docs_of):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(5, "Same few words"), (3, "same FEW words!"), (7, None), (8, ""), (9, "..."), (10, long), (4, long + " end"),
