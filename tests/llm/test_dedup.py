@@ -1,12 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from talentgrid.llm import near_dedup
 from talentgrid.llm.components import components
 from talentgrid.llm.near_dedup import near_duplicates
-from talentgrid.llm.passages import repeated_passages
+from talentgrid.llm.passages import beyond, repeated_passages
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -172,3 +173,29 @@ def test_near_passages_inside_longer_lines_are_found(docs_of):
         x, y = texts[r.doc_id][r.begin:r.end], texts[r.other]
         assert r.end - r.begin >= 50 and r.doc_id // 2 == r.other // 2
         assert max(near(x, y[r.other_begin:r.other_begin + n]) for n in range(len(x) - 4, len(x) + 5)) >= 0.8
+
+
+@pytest.mark.parametrize("small", [16, 1])
+def test_repeated_passages_near_each_other_but_not_the_first_document(docs_of, small):
+    """Four documents share a line; it is all that the first has, and two go on alike after, or before, a word."""
+    rows, want = [], {}
+    for n in range(20):
+        own = lambda k, x: [f"{x}{n}x{i}" for i in range(k)]  # noqa: E731, B023
+        line, rest = own(40, "line"), own(12, "rest")
+        one, two = ([*line, x, *rest] if n % 2 else [*rest, x, *line] for x in ("one", "two"))
+        for k, passage in enumerate((line, one, line, two)):
+            rows.append((4 * n + k, " ".join([*own(9 + k, f"a{k}x"), *passage, *own(9, f"b{k}x")])))
+        want |= {4 * n + 1: 4 * n + 1, 4 * n + 3: 4 * n + 1}
+    found = repeated_passages(docs_of(rows), small=small).collect()
+    assert {r.doc_id: r.cluster for r in found} == want
+    assert {(r.doc_id, r.other) for r in found} == {(a, 2 * (a // 4 * 4 + 2) - a) for a in want}
+
+
+def test_shingles_behind_runs_meet_where_two_texts_leave_a_third_alike():
+    own = lambda x, n: [hash(f"{x}{i}") for i in range(n)]
+    words = lambda w: np.array(w, np.int64).view(np.uint64)
+    line, rest = own("line", 30), own("rest", 25)
+    first = words(own("a", 9) + line + own("b", 40))
+    one, two = words(own("c", 20) + line + rest + own("d", 5)), words(own("e", 7) + line + own("gap", 3) + rest + own("f", 5))
+    keys = [beyond(t, first, [(at + 10, 19, 7)])[at + 10, 7] for t, at in ((one, 20), (two, 7))]
+    assert len(np.intersect1d(*keys)) and all(len(k) <= 12 for k in keys)
