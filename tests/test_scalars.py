@@ -168,3 +168,16 @@ def test_union_and_order_of_experiences(spark):
     u = df.select(cd.union_experiences(F.col("a").cast(e), F.col("b").cast(e)).alias("u"))
     assert [x.position for x in u.first().u] == ["a", "c", "d"]
     assert [x.position for x in u.select(cd.sort_experiences(F.col("u")).alias("s")).first().s] == ["c", "a", "d"]
+
+
+def test_kept_characters_and_texts_that_need_no_normal_form(spark):
+    old = r"[^一-龥A-Za-z0-9\s.,;:：，。；、！？()（）【】\[\]《》\-+*/=@#%&·•~]"
+    chars = spark.range(0x1f700).filter("id NOT BETWEEN 55296 AND 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    keeps = [F.regexp_replace("c", p, "<>") for p in (tx.KEPT_CHARS, old)]
+    assert chars.filter(keeps[0] != keeps[1]).count() == 0 and chars.filter(keeps[0] == "<>").count() > 50000
+    texts = spark.createDataFrame([("plain ASCII",), ("Ｗｉｄｅ ①",), ("",), (None,)], "c string")
+    cleaned = texts.select(tx.clean_resume_text(F.col("c")).alias("c"))
+    assert [r.c for r in cleaned.collect()] == ["plain ASCII", "Wide 1", "", None]
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert "nfkc(CASE WHEN RLIKE(c#" in plan  # before, every text went to Python
