@@ -7,7 +7,7 @@ import pytest
 from talentgrid.llm import near_dedup
 from talentgrid.llm.components import components
 from talentgrid.llm.near_dedup import near_duplicates
-from talentgrid.llm.passages import beyond, repeated_passages
+from talentgrid.llm.passages import _onward, beyond, repeated_passages
 from tests.llm import plain
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +199,15 @@ def test_shingles_behind_runs_meet_where_two_texts_leave_a_third_alike():
     one, two = words(own("c", 20) + line + rest + own("d", 5)), words(own("e", 7) + line + own("gap", 3) + rest + own("f", 5))
     keys = [beyond(t, first, [(at + 10, 19, 7)])[at + 10, 7] for t, at in ((one, 20), (two, 7))]
     assert len(np.intersect1d(*keys)) and all(len(k) <= 12 for k in keys)
+
+
+def test_walks_through_two_texts_are_shared():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 60, 3000).astype(np.uint64)
+    y = x.copy()
+    y[10::12] = 1  # 250 runs of 11 words
+    seen, alone = {}, [_onward(x[p:], y[p:], {}, (p, p), 1) for p in range(10, 3000, 12)]
+    for p, want in zip(range(10, 3000, 12), alone):
+        known = len(seen)
+        assert np.array_equal(_onward(x[p:], y[p:], seen, (p, p), 1), want)
+        assert not known or len(seen) == known  # the first walk has been everywhere
